@@ -55,6 +55,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
 def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text number) of each word; no word crosses a text's end."""
     if not len(raw):
@@ -75,18 +78,32 @@ def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(off, start, side="right") - 1
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, kept between calls."""
+    if len(_POWERS[0]) < n:
+        size = max(n, PIECE_BYTES + 1)
+        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        with np.errstate(over="ignore"):
+            for i, base in enumerate((_BASE, inverse)):
+                grown = np.full(size, base, np.uint64)
+                grown[0] = 1
+                _POWERS[i] = np.cumprod(grown)
+    return _POWERS[0][:n], _POWERS[1]
+
+
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each of some ascending, disjoint, non-empty byte spans."""
+    """64-bit hash of each of some byte spans: a difference of running sums."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    size = end - start
+    power, inverse = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64))
-        total = int(size.sum())
-        first = np.cumsum(size) - size
-        inner = np.arange(total, dtype=np.int64) - np.repeat(first, size)
-        value = (raw[inner + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)) * power[inner]
-        return mix(np.add.reduceat(value, first) + size.astype(np.uint64))
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[raw] * power[:-1], out=total[1:])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def windows(word: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
