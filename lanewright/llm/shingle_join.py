@@ -197,7 +197,8 @@ def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
                 own[some] = cls.view(np.int64) == np.asarray(part.column("cls"))[some]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), packed], names=[*names, "shingles"]).filter(pa.array(own))
 
-    texts = plain.join(members, plain["id"] == members["class_id"]).select("root", "cls", "mult", "blocks", "block", "text", "id")
+    # one strategy at every size: a broadcast of members would not hold at scale
+    texts = plain.join(members.hint("shuffle_hash"), plain["id"] == members["class_id"]).select("root", "cls", "mult", "blocks", "block", "text", "id")
     held = texts.drop("id").mapInArrow(with_sets, "root long, cls long, mult long, blocks int, block int, shingles array<long>")
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "mult", "block", "shingles"
