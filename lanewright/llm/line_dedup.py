@@ -274,7 +274,8 @@ class LineIndex:
             held = self._maybe(plain, self.spark.sparkContext.broadcast(stored))
         else:
             held = keyed_lines(plain)
-        first = self.counts().where("n_docs > 1").select("digest", "first_id")
+        # written first, so that the join deals both sides anew and a hot key's rows can be split
+        first = self.scratch.cut(self.counts().where("n_docs > 1").select("digest", "first_id"))
         return held.join(first, "digest").where("id > first_id").groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
     def _maybe(self, plain: DataFrame, stored: Broadcast) -> DataFrame:
