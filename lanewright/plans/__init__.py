@@ -1 +1 @@
-
+"""From steps to frames: candidates, decisions and bodies."""
