@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewright import Home, Pipeline, sources, step, streaming
+from lanewright.diff import classify
+from lanewright.functions import scalars
+from lanewright.functions.identity import canonical, sha
+from lanewright.operators import expand, graph, groups, joins, sampling
+from lanewright.plans.bodies import attempt, stored
+from lanewright.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -42,3 +53,503 @@ def map_classify_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("tier")
         .agg(F.count("*").alias("n_orders"), F.sum("cents").alias("cents"))
     )
+
+
+def cents(column: str) -> Column:
+    return F.round(F.col(column) * 100).cast("long")
+
+
+def lanes(frame: DataFrame, key: str) -> DataFrame:
+    """A frame whose lane is one of its columns."""
+    return frame.withColumn("lane", F.col(key).cast("string"))
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-")
+    return f"{base.rstrip('/')}/lanes-{uuid.uuid4().hex}"
+
+
+# sources
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS nation, n_name AS name FROM nation")
+def source_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    table(spark, sf_dir, "nation").coalesce(1).write.csv(path, header=True)
+    rows = sources.csv_rows(spark, path)
+    return rows.select(F.col("output.n_nationkey").alias("nation"), F.col("output.n_name").alias("name"))
+
+
+@query("SELECT r_name AS text FROM region")
+def source_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    table(spark, sf_dir, "region").select("r_name").coalesce(1).write.text(path)
+    return sources.folder(spark, path, "*.txt").select(F.explode(F.split(F.trim("output.text"), "\\R")).alias("text"))
+
+
+@query("SELECT count(*) AS n FROM region")
+def source_object_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    table(spark, sf_dir, "region").repartitionByRange(5, "r_regionkey").write.parquet(path)
+    return sources.object_list(spark, path, "*.parquet").where("output.size > 0").agg(F.countDistinct("output.key").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM customer) AS n_customers")
+def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [sources.parquet_rows(spark, f"{sf_dir}/{t}.parquet").agg(F.count("*").alias(n)) for t, n in (("orders", "n_orders"), ("customer", "n_customers"))]
+    return counts[0].crossJoin(counts[1])
+
+
+# map family
+
+
+@query("SELECT 10 AS threshold, 'eu' AS region")
+def map_root_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = {"threshold": 10, "region": "eu"}
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in params.items()])
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS lane, upper(c_name) AS name, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS side FROM customer")
+def map_diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = lanes(table(spark, sf_dir, "customer"), "c_custkey")
+    one = base.select("lane", F.upper("c_name").alias("name"))
+    two = base.select("lane", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("side"))
+    return joins.lane_join([("one", one), ("two", two)]).select("lane", "one.name", "two.side")
+
+
+@query("""
+    SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * (SELECT count(*) FROM orders) > (SELECT sum(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders) AS above
+    FROM orders""")
+def map_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("cents"))
+    whole = orders.agg(F.count("*").alias("n"), F.sum("cents").alias("s"))
+    return orders.crossJoin(F.broadcast(whole)).select("o_orderkey", (F.col("cents") * F.col("n") > F.col("s")).alias("above"))
+
+
+@query("""
+    SELECT o_orderkey, o_totalprice < 50000 AS filtered, CASE WHEN o_totalprice < 50000 THEN 'cheap' END AS reason FROM orders""")
+def filter_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("o_totalprice") < 50000
+    return table(spark, sf_dir, "orders").select("o_orderkey", low.alias("filtered"), F.when(low, "cheap").alias("reason"))
+
+
+@query("""
+    SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT (o_totalprice < 50000) GROUP BY 1""")
+def filter_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = filter_verdict(spark, sf_dir).where("NOT filtered").select("o_orderkey")
+    return table(spark, sf_dir, "orders").join(kept, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT upper(replace(c_name, '#', '-')) || '!' AS name, c_custkey FROM customer")
+def fused_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    helper = table(spark, sf_dir, "customer").withColumn("name", F.replace("c_name", F.lit("#"), F.lit("-")))
+    return helper.withColumn("name", F.upper("name")).select(F.concat("name", F.lit("!")).alias("name"), "c_custkey")
+
+
+@query("SELECT p_partkey, p_name, length(p_name) AS name_length FROM part")
+def row_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.length("p_name").cast("long").alias("name_length"))
+
+
+@query("""
+    SELECT l_linenumber % 3 = 0 AS failed, count(*) AS n, CASE WHEN l_linenumber % 3 = 0 THEN 'ValueError' END AS error_type FROM lineitem GROUP BY 1, 3""")
+def error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+
+    def body(lineitem: int) -> int:
+        if lineitem % 3 == 0:
+            raise ValueError("every third")
+        return lineitem
+
+    checked = step(body, depends_on=["lineitem"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [attempt(checked, lambda v=v: body(v), stored) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[4] is not None for m in made]), pa.array([m[5] for m in made], pa.string())], names=["failed", "error_type"])
+
+    ran = table(spark, sf_dir, "lineitem").select("l_linenumber").mapInArrow(work, "failed boolean, error_type string")
+    return ran.groupBy("failed", "error_type").agg(F.count("*").alias("n"))
+
+
+# expand
+
+
+@query("""
+    SELECT 'row-' || sha256('{"name":"' || n_name || '","region":' || n_regionkey || '}') AS lane, n_name AS name FROM nation""")
+def expand_lane_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    return expand.mint(table(spark, sf_dir, "nation").select(payload.alias("output"))).select("lane", "output.name")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents")
+def expand_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(sha(F.col("text")).alias("hash")).distinct()
+
+
+@query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part")
+def expand_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expand.expand(table(spark, sf_dir, "part"), F.split("p_name", " ")).select(F.col("output").alias("word"))
+
+
+@query("SELECT 'row-' || sha256(CAST(n_nationkey AS VARCHAR)) AS lane, n_name AS name FROM nation")
+def expand_row_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sources.packed(table(spark, sf_dir, "nation"))
+    return expand.mint(rows, "n_nationkey").select("lane", F.col("output.n_name").alias("name"))
+
+
+@query("SELECT conv_id, count(DISTINCT sha256(text)) AS n_children, min(sha256(text)) AS first_child FROM conversations GROUP BY conv_id")
+def expand_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hashed = table(spark, sf_dir, "conversations").select("conv_id", sha(F.col("text")).alias("h")).distinct()
+    return hashed.groupBy("conv_id").agg(F.count("h").alias("n_children"), F.min("h").alias("first_child"))
+
+
+# unions
+
+
+@query("""
+    WITH a AS (SELECT doc_id, lang, 0 AS ord FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, upper(lang), 1 FROM documents WHERE doc_id % 2 = 0)
+    SELECT CAST(doc_id AS VARCHAR) AS lane, arg_min(lang, ord) AS lang FROM a GROUP BY doc_id""")
+def union_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lanes(table(spark, sf_dir, "documents"), "doc_id")
+    one = docs.where("doc_id % 3 <> 0").select("lane", "lang")
+    two = docs.where("doc_id % 2 = 0").select("lane", F.upper("lang").alias("lang"))
+    return groups.union_lanes([one, two])
+
+
+@query("SELECT 'n' || n_nationkey AS lane, n_name AS name, NULL::INTEGER AS size FROM nation UNION ALL SELECT 'p' || p_partkey, NULL, p_size FROM part")
+def union_widen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("lane"), F.col("n_name").alias("name"))
+    two = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("lane"), F.col("p_size").alias("size"))
+    return groups.union_lanes([one, two])
+
+
+# joins
+
+
+def _orders_customers(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, Column]]:
+    orders = lanes(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    people = lanes(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return [("o", orders, F.col("o_custkey")), ("c", people, F.col("c_custkey"))]
+
+
+@query("SELECT o_orderkey || '|' || c_custkey AS lane, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.star_join(_orders_customers(spark, sf_dir)).select("lane", F.col("c.c_name").alias("name"))
+
+
+@query("""
+    WITH l AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT CAST(l.k AS VARCHAR) AS key, l.n AS n_part, r.n AS n_supp, l.n * r.n AS product FROM l JOIN r ON l.k = r.k WHERE l.n > 1 AND r.n > 1""")
+def join_inner_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    found = joins.duplicate_keys([("part", items, F.col("l_partkey")), ("supp", items, F.col("l_suppkey"))])
+    return found.withColumnRenamed("_key", "key")
+
+
+@query("""
+    SELECT coalesce(CAST(d.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(l.doc_id AS VARCHAR), '@missing') AS lane, d.lang, l.quality
+    FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT * FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""")
+def join_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lanes(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang"), "doc_id")
+    marks = lanes(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    return joins.star_join([("d", docs, F.col("doc_id")), ("l", marks, F.col("doc_id"))], "union").select("lane", "d.lang", "l.quality")
+
+
+@query("""
+    SELECT coalesce(CAST(a.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(b.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(c.doc_id AS VARCHAR), '@missing') AS lane
+    FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id
+    FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) c ON coalesce(a.doc_id, b.doc_id) = c.doc_id""")
+def join_outer_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, marks = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    parts = [("a", docs.where("doc_id % 2 = 0")), ("b", marks), ("c", docs.where("doc_id % 5 = 0"))]
+    return joins.star_join([(n, lanes(f, "doc_id"), F.col("doc_id")) for n, f in parts], "union").select("lane")
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part), v AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS word FROM part)
+    SELECT p_partkey || '|' || v.word AS lane FROM w JOIN v ON w.word = v.word""")
+def join_list_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = lanes(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    words = parts.select(F.split("p_name", " ")[0].alias("word")).distinct().withColumn("lane", F.col("word"))
+    return joins.star_join([("p", parts, F.split("p_name", " ")), ("w", words, F.col("word"))]).select("lane")
+
+
+@query("""
+    SELECT '{"c":{"name":"' || c_name || '"},"o":{"order":' || o_orderkey || '}}' AS output FROM orders JOIN customer ON o_custkey = c_custkey""")
+def join_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = joins.star_join(_orders_customers(spark, sf_dir))
+    nested = F.struct(F.struct(F.col("o.o_orderkey").alias("order")).alias("o"), F.struct(F.col("c.c_name").alias("name")).alias("c"))
+    return rows.select(canonical(nested).alias("output"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("SELECT n_regionkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def join_table_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation").select("n_regionkey", "n_name")
+    return joins.table_join(nation, table(spark, sf_dir, "region"), "n_regionkey", "r_regionkey")
+
+
+@query("""
+    SELECT coalesce(c.c_custkey, s.s_suppkey) AS c_custkey, c_name, s_name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey""")
+def join_table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
+    return joins.table_join(people, table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "c_custkey", "s_suppkey", "union")
+
+
+# aggregates and folds
+
+
+@query("SELECT '@all' AS \"group\", count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents FROM orders")
+def agg_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.aggregate(table(spark, sf_dir, "orders"), None, [F.count("*").alias("n"), F.sum(cents("o_totalprice")).alias("cents")])
+
+
+@query("SELECT '@all' AS \"group\", count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_orderkey < 0")
+def agg_all_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.aggregate(table(spark, sf_dir, "orders").where("o_orderkey < 0"), None, [F.count("*").alias("n"), F.sum("o_orderkey").cast("decimal(38,0)").alias("s")])
+
+
+@query("""
+    SELECT l_returnflag AS "group", count(*) AS n, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1""")
+def agg_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.aggregate(table(spark, sf_dir, "lineitem"), F.col("l_returnflag"), [F.count("*").alias("n"), F.sum(cents("l_extendedprice")).alias("cents")])
+
+
+@query("""
+    WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word AS "group", count(*) AS n FROM w GROUP BY 1""")
+def agg_group_multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.aggregate(table(spark, sf_dir, "part"), F.split("p_name", " "), [F.count("*").alias("n")])
+
+
+@query("""
+    WITH o AS (SELECT c_nationkey AS k, count(*) AS n_orders FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
+         s AS (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1)
+    SELECT CAST(coalesce(o.k, s.k) AS VARCHAR) AS "group", n_orders, n_suppliers FROM o FULL JOIN s ON o.k = s.k""")
+def agg_two_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").join(people, F.col("o_custkey") == F.col("c_custkey"))
+    return groups.cogrouped([
+        ("orders", orders, F.col("c_nationkey"), [F.count("*").alias("n_orders")]),
+        ("suppliers", table(spark, sf_dir, "supplier"), F.col("s_nationkey"), [F.count("*").alias("n_suppliers")]),
+    ])
+
+
+@query("SELECT count(*) AS n, count(DISTINCT p_brand) AS n_brands, max(p_size) AS max_size FROM part")
+def agg_table_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("n_brands"), F.max("p_size").alias("max_size"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS \"group\", string_agg(substr(role, 1, 1), '' ORDER BY turn) AS value FROM conversations GROUP BY conv_id")
+def fold_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").withColumn("lane", F.lpad(F.col("turn").cast("string"), 12, "0"))
+    return groups.fold(turns, F.col("conv_id"), F.lit(""), lambda acc, v: F.concat(acc, v), F.substring("role", 1, 1))
+
+
+@query("SELECT event_type AS \"group\", sum(CAST(round(value * 100) AS BIGINT)) AS value FROM events GROUP BY 1")
+def fold_group_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commutative fold is an aggregate."""
+    return groups.aggregate(table(spark, sf_dir, "events"), F.col("event_type"), [F.sum(cents("value")).alias("value")])
+
+
+# samples
+
+
+@query("SELECT doc_id FROM documents ORDER BY sha256('seed' || chr(0) || doc_id), CAST(doc_id AS VARCHAR) LIMIT 50")
+def sample_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_n(lanes(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"), 50, "seed").select("doc_id")
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE sha256('seed' || chr(0) || o_orderkey) < '{sampling.threshold(0.25)}'")
+def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_fraction(lanes(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), 0.25, "seed").select("o_orderkey")
+
+
+@query("SELECT 0 AS violations")
+def sample_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = lanes(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    small, large = (sampling.sample_fraction(orders, f, "s") for f in (0.1, 0.4))
+    return small.join(large, "lane", "left_anti").agg(F.count("*").cast("int").alias("violations"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
+def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(50).limit(25)
+
+
+# selection
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '42'")
+def json_field_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(scalars.field_matches(F.col("props"), "k", "42")).select("event_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_name GLOB '*1?'")
+def glob_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where(scalars.glob(F.col("c_name"), "*1?")).select("c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 || '.1' AS version FROM orders WHERE o_orderkey % 4 IN (1, 2)")
+def version_range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat((F.col("o_orderkey") % 4).cast("string"), F.lit(".1")).alias("version"))
+    known = [r["version"] for r in rows.select("version").distinct().collect()]
+    return rows.where(F.col("version").isin(scalars.versions_matching(known, ">=1,<3")))
+
+
+# planning, lineage, differences
+
+
+@query("""
+    SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'execute' ELSE 'reuse' END AS action, count(*) AS n FROM orders GROUP BY 1""")
+def reuse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planning join: candidate addresses against live ones."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("cents"))
+    stored_ = rows.where("o_orderkey % 10 <> 0").select(sha(F.concat_ws(":", "o_orderkey", "cents")).alias("address"), F.lit(True).alias("live"))
+    wanted = rows.select(sha(F.concat_ws(":", "o_orderkey", "cents")).alias("address"))
+    action = F.when(F.col("live"), "reuse").otherwise("execute")
+    return wanted.join(stored_, "address", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+
+
+def _shop(changed: int, name: str = "shop") -> Pipeline:
+    """nation rows, those of one region changed, classified and counted by region."""
+
+    def rows(spark: SparkSession) -> DataFrame:
+        return spark.table("lanewright_nation").withColumn("mark", F.when(F.col("n_regionkey") == changed, 2).otherwise(1))
+
+    def kind(rows: Column) -> Column:
+        return F.struct(rows.n_regionkey.alias("region"), (rows.mark + 0).alias("mark"))
+
+    def total(kind: Column) -> Column:
+        return F.struct(F.sum(kind.mark).alias("marks"))
+
+    schema = "n_nationkey int, n_name string, n_regionkey int, mark int"
+    return Pipeline(name, [
+        step(rows, shape="expand", body="column", schema=schema, force=True),
+        step(kind, body="column", schema="region int, mark int"),
+        step(total, body="column", group_key="region"),
+    ])
+
+
+@query("""
+    WITH n AS (SELECT count(*) FILTER (WHERE n_regionkey = 1) AS c, count(*) AS a, count(DISTINCT n_regionkey) AS g FROM nation)
+    SELECT unnest(['rows', 'kind', 'total']) AS step, unnest([c, c, 1]) AS created, unnest([a - c, a - c, g - 1]) AS reused FROM n""")
+def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline run twice; between the runs the rows of one region change."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lanewright_nation")
+    home = Home(spark, scratch_dir(spark))
+    _shop(-1).run(home)
+    second = _shop(1).run(home)
+    cells = home.cells(run_id=second.run_id).where("lane <> '@anchor'")
+    return cells.groupBy("step").agg(F.count_if(F.col("status") == "created").alias("created"), F.count_if(F.col("status") == "reused").alias("reused"))
+
+
+@query("""
+    SELECT count(*) AS n_changed, 0 AS n_below FROM nation WHERE n_regionkey = 2""")
+def early_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs change but a step's outputs do not, so nothing below it would run."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("name"))
+    after = rows.withColumn("name", F.when(F.col("n_regionkey") == 2, F.lower("name")).otherwise(F.col("name")))
+    ident = lambda f, c: f.select("n_nationkey", sha(canonical(c)).alias("identity"))
+    inputs = ident(rows, F.struct("name")).join(ident(after, F.struct("name")), ["n_nationkey", "identity"], "left_anti")
+    outs = ident(rows, F.upper("name")).join(ident(after, F.upper("name")), ["n_nationkey", "identity"], "left_anti")
+    return inputs.agg(F.count("*").alias("n_changed")).crossJoin(outs.agg(F.count("*").cast("int").alias("n_below")))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    parts = [("orders", "o", "o_orderkey", "c", "o_custkey"), ("customer", "c", "c_custkey", "n", "c_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey")]
+    found = [table(spark, sf_dir, t).select(name(a, ka).alias("a"), name(b, kb).alias("b")) for t, a, ka, b, kb in parts]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT 'o' || o_orderkey AS a, 'c' || o_custkey AS b FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    t AS (SELECT DISTINCT a AS node, 0 AS depth FROM e WHERE a IN ('o1', 'o2', 'o3', 'n3') UNION SELECT e.b, t.depth + 1 FROM t JOIN e ON e.a = t.node)
+    SELECT node, min(depth) AS depth FROM t GROUP BY node""")
+def trace_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    seeds = edges.where(F.col("a").isin("o1", "o2", "o3", "n3")).select(F.col("a").alias("node"))
+    return graph.closure(edges, seeds, Home(spark, scratch_dir(spark)).cut)
+
+
+@query("""
+    WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+    SELECT 'n' AS kind, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'c', count(*) FROM c UNION ALL SELECT 'o', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)""")
+def invalidate_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    seeds = spark.range(1).select(F.lit("n3").alias("node"))
+    found = graph.closure(edges, seeds, Home(spark, scratch_dir(spark)).cut)
+    return found.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 11 <> 0)
+    SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = lanes(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    cells = lambda f, v: f.select("lane", F.lit("created").alias("status"), sha(v).alias("identity"), v.alias("output"))
+    old = cells(orders.where("o_orderkey % 7 <> 0"), F.col("o_orderstatus"))
+    new = cells(orders.where("o_orderkey % 11 <> 0"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return classify(old, new).groupBy("change").agg(F.count("*").alias("n"))
+
+
+# views of the ledger, on events
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS ts FROM events GROUP BY user_id")
+def current_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.latest(table(spark, sf_dir, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "ts")
+
+
+@query("""
+    SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3""")
+def retention_keep_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
+    return table(spark, sf_dir, "events").withColumn("n", place).where("n <= 3").select("event_type", "event_id")
+
+
+@query("""
+    WITH v AS (SELECT DISTINCT lang, source, text FROM documents)
+    SELECT lang, source, count(*) AS n_values, sum(strlen(text)) AS bytes FROM v GROUP BY 1, 2
+    UNION ALL SELECT lang, NULL, count(*), sum(strlen(text)) FROM (SELECT DISTINCT lang, text FROM v) GROUP BY 1
+    UNION ALL SELECT NULL, NULL, count(*), sum(strlen(text)) FROM (SELECT DISTINCT text FROM v)""")
+def storage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of distinct values in each scope; only digests are shuffled."""
+    rows = table(spark, sf_dir, "documents").select("lang", "source", sha(F.col("text")).alias("h"), F.octet_length("text").cast("long").alias("bytes"))
+    none = F.lit(None).cast("string")
+    scope = F.array(F.struct("lang", "source"), F.struct(F.col("lang"), none.alias("source")), F.struct(none.alias("lang"), none.alias("source")))
+    once = rows.select(F.explode(scope).alias("s"), "h", "bytes").groupBy("s", "h").agg(F.max("bytes").alias("bytes"))
+    return once.groupBy("s").agg(F.count("*").alias("n_values"), F.sum("bytes").alias("bytes")).select("s.lang", "s.source", "n_values", "bytes")
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1""")
+def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = [F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "error", "view")]
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(*counted)
+
+
+# extras that Spark brings along; not capabilities of the reference
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = streaming.tumbling(table(spark, sf_dir, "events"), "1 day", ["event_type"])
+    return windows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS n_users FROM events")
+def stream_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream until nothing is new, then counted."""
+    events, out = table(spark, sf_dir, "events"), scratch_dir(spark)
+    streaming.drain(spark, sf_dir, events.schema.simpleString()[7:-1].replace(":", " "), f"{out}/state", lambda b, i: b.write.parquet(f"{out}/data/{i}"), pathGlobFilter="events.parquet")
+    return spark.read.parquet(f"{out}/data/*").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"))
