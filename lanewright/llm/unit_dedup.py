@@ -36,7 +36,7 @@ CUTS = {
     "paragraph": re.compile(r"\n[\x20\t\r]*(?:\n[\x20\t\r]*)+"),
     "sentence": re.compile(r"[.!?][\x20\t]+|\n"),
 }
-MIN_WORDS = 8
+MIN_WORDS = 5
 _LAST = (1 << 63) - 1
 
 
