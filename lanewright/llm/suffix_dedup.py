@@ -272,9 +272,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     marks = scratch.cut(texts.mapInArrow(find, "gram long, id long, sha long, at long"))
-    often = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # written, so that the join deals both sides anew and a hot k-gram's rows can be split
+    often = scratch.cut(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     chosen = scratch.cut(marks.join(often, "gram").groupBy("id", "sha").agg(F.collect_list("at").alias("at")))
-    scratch.drop(marks)
+    scratch.drop(marks, often)
     scratch.release()
     within = scratch.cut(texts.join(chosen, ["id", "sha"]))
     scratch.drop(texts, chosen)
