@@ -100,9 +100,6 @@ def test_filter_failure_and_fan_in(home):
 
 
 def test_joins(home):
-    people = step(lambda: None, name="x") if False else None
-    assert people is None
-
     def left():
         yield from [{"oid": "o1", "cust": "c1"}, {"oid": "o2", "cust": "c1"}, {"oid": "o3", "cust": "c9"}]
 
