@@ -7,9 +7,11 @@ edges and liveness are views of the cells, plus a log of later liveness changes.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,6 +77,34 @@ class Home:
         files, at = self._hadoop(f"{self.path}/_scratch")
         files.delete(at, True)
 
+    def put_objects(self, values: DataFrame) -> DataFrame:
+        """Stores values (content, as binary) that are not there yet under their hash; returns (hash, bytes) of all.
+
+        Equal content is stored once, whoever writes it.
+        """
+        hashed = self.cut(values.select(F.sha2("content", 256).alias("hash"), "content").dropDuplicates(["hash"]))
+        path = f"{self.path}/objects"
+        new = hashed
+        if self.exists("objects"):
+            new = hashed.join(self.spark.read.parquet(path).select("hash"), "hash", "left_anti")
+        new.write.mode("append").parquet(path)
+        return hashed.select("hash", F.octet_length("content").cast("long").alias("bytes"))
+
+    def objects(self) -> DataFrame:
+        if not self.exists("objects"):
+            return self.spark.createDataFrame([], "hash string, content binary")
+        return self.spark.read.parquet(f"{self.path}/objects").dropDuplicates(["hash"])
+
+    @contextmanager
+    def lease(self, pipeline: str, ttl: float = 180.0) -> Iterator[Lease]:
+        """One writer for each pipeline: a file that only one can create, and that runs out."""
+        held = Lease(self, f"{self.path}/_leases/{pipeline}", ttl)
+        held.take()
+        try:
+            yield held
+        finally:
+            held.give_back()
+
     def cells(self, pipeline: str | None = None, step: str | None = None, run_id: str | None = None) -> DataFrame:
         """Committed cells; the arguments prune partitions."""
         found = self.read("cells")
@@ -110,5 +140,50 @@ class Home:
         return found if run_id is None else found.where(F.col("run_id") == run_id)
 
 
+class LeaseLost(RuntimeError):
+    """Another writer has the pipeline."""
+
+
+class Lease:
+    """A lock file with its owner and the time that it runs out."""
+
+    def __init__(self, home: Home, path: str, ttl: float):
+        self.home, self.path, self.ttl, self.owner = home, path, ttl, uuid.uuid4().hex
+
+    def _read(self) -> dict | None:
+        rows = self.home.spark.read.text(self.path).collect()
+        return json.loads(rows[0]["value"]) if rows else None
+
+    def _write(self, overwrite: bool) -> None:
+        files, at = self.home._hadoop(self.path)
+        out = files.create(at, overwrite)
+        out.write(bytearray(json.dumps({"owner": self.owner, "until": time.time() + self.ttl}).encode()))
+        out.close()
+        self.written = time.time()
+
+    def take(self) -> None:
+        files, at = self.home._hadoop(self.path)
+        if files.exists(at):
+            now = self._read()
+            if now is not None and now["until"] > time.time():
+                raise LeaseLost(f"another run holds {self.path}")
+            files.delete(at, False)
+        self._write(False)  # fails if another writer was faster
+
+    def renew(self) -> None:
+        """Before each commit: fails if the lease ran out and another took it."""
+        if time.time() - self.written < self.ttl / 3:
+            return
+        now = self._read()
+        if now is None or now["owner"] != self.owner:
+            raise LeaseLost(f"the lease on {self.path} was lost")
+        self._write(True)
+
+    def give_back(self) -> None:
+        files, at = self.home._hadoop(self.path)
+        if files.exists(at) and (self._read() or {}).get("owner") == self.owner:
+            files.delete(at, False)
+
+
 def now_seq() -> int:
     return time.time_ns() // 1000 * 1000

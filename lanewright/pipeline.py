@@ -158,6 +158,10 @@ class Run:
         self.events.append((self.run_id, self.p.name, step, lane, level, event, message, now_seq() / 1e9))
 
     def execute(self) -> Summary:
+        with self.home.lease(self.p.name) as self.lease:
+            return self._execute()
+
+    def _execute(self) -> Summary:
         self._state("running", None, None)
         summary = Summary(self.run_id, "completed")
         try:
@@ -167,6 +171,8 @@ class Run:
                     continue
                 self._step(s, ordinal)
                 summary.counts[s.name] = self._counts(s)
+                if self.scope is not None and s.name == self.scope.step:
+                    self._missing(s)
         except Exception as error:
             self.note("", "run_failed", str(error)[:2000], "error")
             self._state("failed", summary, str(error)[:2000])
@@ -283,6 +289,7 @@ class Run:
             F.lit(now_seq() / 1e9).alias("ts"), F.lit(self.seq + ordinal).alias("seq"),
         )
         self.home.append("cells", stamped)
+        self.lease.renew()
         self.home.rows("commits", [(self.run_id, self.p.name, s.name, self.seq + ordinal)])
         self.frames[s.name] = self._frame(s)
 
@@ -317,6 +324,8 @@ class Run:
     def _row_cells(self, s: Step) -> DataFrame:
         decided = self.home.cut(self._decide(s, self._candidates(s, self.scope is None)))
         self._drift(s, decided)
+        if s.shape == "join":
+            self._join_notes(s)
         todo = decided.where("action = 'execute'")
         if s.fn is None:  # declared union or join
             names = list(s.depends_on.values())
@@ -336,6 +345,26 @@ class Run:
             ran = bodies.run_python(s, todo, self.params)
         return self._finish(ran, s).select(*self._CELL).unionByName(self._settled(decided).select(*self._CELL))
 
+    def _missing(self, s: Step) -> None:
+        from lanewright.scope import accounting
+
+        n = accounting(self.scope, self.frames[s.name]).where("NOT reached").count()
+        if n:
+            self.note(s.name, "scope_lanes_missing", f"{n} lanes of the scope were not reached")
+
+    def _join_notes(self, s: Step) -> None:
+        """Warnings of a lane join: keys that repeat on several sides, failed lanes that look unmatched."""
+        from lanewright.operators.joins import duplicate_keys
+
+        sides = [(n, self.frames[n].where("state = 'ok'"), candidates.key_column(self.frames[n], path)) for n, path in s.join_on.items()]
+        worst = duplicate_keys(sides).agg(F.max(F.struct("product", "_key")).alias("w")).first()["w"]
+        if worst is not None:
+            self.note(s.name, "duplicate_join_keys", f"key {worst['_key']} makes {worst['product']} pairs")
+        for n in s.join_on:
+            failed = self.frames[n].where("state IN ('failed', 'blocked')").count()
+            if failed and s.join_mode == "union":
+                self.note(s.name, "partial_fan_in", f"{failed} failed lanes of {n} look unmatched")
+
     def _drift(self, s: Step, decided: DataFrame) -> None:
         if s.code == "warn" and s.source_hash:
             other = decided.where((F.col("action") == "reuse") & (F.col("was_code_hash") != s.source_hash)).limit(1)

@@ -18,7 +18,10 @@ def usage(home: Home) -> DataFrame:
     A value counts once in each scope, as equal values share an identity.
     """
     rows = home.outputs().where("lane <> '@anchor'").select("pipeline", "step", "identity", "live", F.coalesce(F.octet_length("output"), F.lit(0)).cast("long").alias("bytes"))
-    scoped = rows.select("*", F.explode(F.array(F.struct(F.col("pipeline").alias("p"), F.col("step").alias("s")), F.struct("pipeline", F.lit(None).cast("string")), F.struct(F.lit(None).cast("string"), F.lit(None).cast("string")))).alias("scope"))
+    none = F.lit(None).cast("string")
+    pair = lambda p, s: F.struct(p.alias("p"), s.alias("s"))
+    scopes = F.array(pair(F.col("pipeline"), F.col("step")), pair(F.col("pipeline"), none), pair(none, none))
+    scoped = rows.select("*", F.explode(scopes).alias("scope"))
     value = scoped.groupBy("scope", "identity").agg(F.count("*").alias("n"), F.sum(F.col("live").cast("long")).alias("n_live"), F.max("bytes").alias("bytes"))
     return value.groupBy(F.col("scope.p").alias("pipeline"), F.col("scope.s").alias("step")).agg(
         F.sum("n").alias("n_rows"), F.sum("n_live").alias("live_rows"), F.count("identity").alias("n_values"), F.sum("bytes").alias("bytes"),

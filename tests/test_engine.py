@@ -253,3 +253,19 @@ def test_uncommitted_cells_are_invisible(home, spark):
     home.append("cells", home.cut(rows))
     assert home.cells(run_id="crashed").count() == 0
     assert p.run(home).created == 0
+
+
+def test_objects_and_lease(home, spark):
+    from lanewright.home import LeaseLost
+
+    one = spark.createDataFrame([(b"a",), (b"b",), (b"a",)], "content binary")
+    assert home.put_objects(one).count() == 2
+    home.put_objects(spark.createDataFrame([(b"b",), (b"c",)], "content binary"))
+    assert sorted(bytes(r["content"]) for r in spark.read.parquet(f"{home.path}/objects").collect()) == [b"a", b"b", b"c"]
+    with home.lease("p"):
+        with pytest.raises(LeaseLost), home.lease("p"):
+            pass
+        with home.lease("q"):
+            pass
+    with home.lease("p", ttl=-1), home.lease("p"):
+        pass
