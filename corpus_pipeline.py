@@ -31,8 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    kept = shingle_join.shingle_join(docs).where("kept").select("doc_id")
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    return shingle_join.keep_one(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

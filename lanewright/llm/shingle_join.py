@@ -159,7 +159,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, within: bool, threshold: Fr
 
 
 def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, class_id, n_links, component_id, kept."""
+    """One row for each row of docs: id, class_id, n_links, component_id, kept, class_key."""
     scratch = Scratch(docs.sparkSession, "shingles")
     exact = Fraction(str(threshold))
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
@@ -237,8 +237,41 @@ def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         shown(F.col("component_id")).alias("component_id"),
         (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
+        F.col("cls").alias("class_key"),
     )
 
 
+def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each group the one with the smallest id.
+
+    A null id is kept like any other; of rows that repeat id and text one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "kept")
+    done = scratch.cut(shingle_join(docs, n, threshold, target, id_col, text_col))
+    by_id = scratch.cut(done.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"), F.count_if("kept").alias("_kept")).where("_kept > 0"))
+
+    def rows(which: str) -> DataFrame:
+        chosen = by_id.where(which).hint("shuffle_hash")
+        return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_id"]), "left_semi")
+
+    if by_id.where("_rows > 1").isEmpty():
+        return rows("_rows = 1")
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _text.pieces(batch, "text"):
+                some, cls = class_hash(*shingle_sets(part.column("text"), n))
+                key = np.zeros(len(part), np.int64)
+                key[some] = cls.view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(key)], names=["row", "key"])
+
+    # several rows share an id: its verdict goes by class
+    packed = rows("_rows > 1").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    keyed = packed.mapInArrow(with_key, f"row {packed.schema['row'].dataType.simpleString()}, key long")
+    keep = done.where("kept").select(F.col(id_col).alias("_id"), F.coalesce("class_key", F.lit(0)).alias("key")).distinct()
+    chosen = keyed.join(keep, F.col(f"row.`{id_col}`").eqNullSafe(keep["_id"]) & (keyed["key"] == keep["key"]), "left_semi")
+    return rows("_rows = 1").union(chosen.select("row.*").dropDuplicates([id_col, text_col]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(read_table(spark, sf_dir, "documents"))

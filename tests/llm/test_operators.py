@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewright.llm import line_dedup, mixing, pii, quality, sentencepiece, shingle_join, suffix_dedup, token_counts, unit_dedup, vector_dedup
 from tests.llm import brute
+from tests.llm.conftest import EDGE
 
 
 def got(frame, *columns, key="doc_id"):
@@ -259,6 +260,9 @@ def test_edge_cases_keep_every_row(edge, labels, spark):
     assert by[1]["n_tokens"] == by[2]["n_tokens"] == 0 and not by[8]["round_trip"] and by[7]["round_trip"]
     links = [r["n_links"] for r in made["op7"] if r["doc_id"] in (5, 6)]
     assert sorted(links) == [0, 2, 2, 2]
+    one = shingle_join.keep_one(edge)
+    assert one.columns == edge.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in one.collect() if r["doc_id"] in (None, 5, 6)) == [(-1, ""), (-1, "a null id with some words in it"), (5, EDGE[6][1]), (6, "the same id with another text")]
     assert {r["n_lines"] for r in made["op8"] if r["doc_id"] in (1, 2)} == {1}
     assert not any(r["kept"] for r in made["op9"] if r["doc_id"] in (1, 2, 3, 4, 7))
 
