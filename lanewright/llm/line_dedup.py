@@ -108,7 +108,6 @@ class CuckooFilter:
             bucket = self.other(bucket, mark)
         for i in reversed(moved):  # no room: put everything back
             mark, cells[i] = int(cells[i]), mark
-        self.used += 0
         return False
 
     def remove(self, mark: int, place: int) -> bool:

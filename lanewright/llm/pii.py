@@ -53,7 +53,7 @@ CONTEXT = 24
 _BLOCK = 64
 
 
-def _spans(text: Column, pattern: str, kind: str, hint: Column) -> Column:
+def _spans(text: Column, pattern: str, hint: Column) -> Column:
     """array<struct<start, ord, end, kind, value>> of all matches, in order.
 
     The pieces between matches and the matches themselves give the offsets.
@@ -116,7 +116,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), "phone": text.contains("+"),
     } | {k: text.rlike(v) for k, v in HINT.items()}
     patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE} | LOOSE
-    frame = frame.withColumns({f"p_{k}": _spans(text, patterns[k], k, hints[k]) for k in KINDS})
+    frame = frame.withColumns({f"p_{k}": _spans(text, patterns[k], hints[k]) for k in KINDS})
     frame = frame.withColumns({f"t_{k}": F.when(F.col(f"p_{k}").isNotNull(), _block_totals(f"p_{k}")) for k in KINDS})
     frame = frame.withColumns({f"s_{k}": _before(f"t_{k}") for k in KINDS})
     none = "CAST(array() AS array<struct<start:int,ord:int,kind:string,value:string>>)"

@@ -69,8 +69,6 @@ def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         gram = _text.mix(gram)
     # the smallest hash first, of equal ones the rightmost
     least = (gram & ~_LOW) | (_LOW - np.arange(len(gram), dtype=np.uint64))
-    inside = np.zeros(n, bool)
-    window = np.zeros(n, bool)
     size = np.diff(off)
     ends = np.repeat(off[1:], size)
     here = np.arange(n)
