@@ -43,7 +43,7 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 #: Distinct words whose pieces a Python worker remembers between batches.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:

@@ -40,7 +40,7 @@ TREES = 16
 #: Bits of a tree's levels, 64 together.
 LEVELS = (12, 12, 12, 12, 8, 8)
 #: Members of one block; a task verifies the pairs of one or two blocks.
-BLOCK = 1024
+BLOCK = 512
 _LAST = (1 << 63) - 1
 _SEEDS = _text.mix(np.arange(1, TREES * len(LEVELS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -142,7 +142,7 @@ def linked(sets: list[np.ndarray], left: np.ndarray, within: bool, threshold: Fr
         both = np.stack([pattern, again], axis=1)
         _, which, weight = np.unique(both, axis=0, return_index=True, return_counts=True)
         stop = np.append(start[1:], len(row))
-        step = max(1, 8_000_000 // m)
+        step = max(1, 2_000_000 // m)
         for i in range(0, len(which), step):
             mine = which[i : i + step]
             held = np.zeros((m, len(mine)), np.float32)
