@@ -70,10 +70,13 @@ def table_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     for frame, key, side in ((left, left_key, "left"), (right, right_key, "right")):
         if key not in frame.columns:
             raise ValueError(f"no column {key} on the {side}")
-    strict = lambda c, side: F.coalesce(F.col(c), F.raise_error(F.lit(f"null join key on the {side}")).cast(dict_type(c, side)))
-    dict_type = lambda c, side: (left if side == "left" else right).schema[c].dataType
-    a = left.withColumn(left_key, strict(left_key, "left")).alias("a")
-    b = right.withColumn(right_key, strict(right_key, "right")).alias("b")
+
+    def strict(frame: DataFrame, key: str, side: str) -> Column:
+        fail = F.raise_error(F.lit(f"null join key on the {side}")).cast(frame.schema[key].dataType)
+        return F.coalesce(F.col(key), fail)
+
+    a = left.withColumn(left_key, strict(left, left_key, "left")).alias("a")
+    b = right.withColumn(right_key, strict(right, right_key, "right")).alias("b")
     ka, kb = F.col(f"a.{left_key}"), F.col(f"b.{right_key}")
     joined = a.join(b, ka == kb, "inner" if mode == "intersect" else "full_outer")
     rest = [F.col(f"a.{c}") for c in left.columns if c != left_key]
