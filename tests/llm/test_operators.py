@@ -166,6 +166,25 @@ def test_unit_dedup(docs, rows):
         assert kept + text[at:] == r["kept_text"]
 
 
+def test_unit_query_hashes_lines_and_paragraphs(spark, tmp_path):
+    texts = [
+        "Go on. Stop it. Look up.\nthis line is here alone", "own words\nGo on.  Stop IT. Look up.\n他们没有空格的一行", "他们没有空格的一行\nmore",
+        "new start\n\nshort one\nshort two\n\nend of it", "other\n\nshort\none short two\n\n\nlast bit", "Go on. Now what. Look up.", "  \n\n\n", "a b\na b\n\na b",
+    ]
+    want = [
+        texts[0], "own words\n他们没有空格的一行", "more", texts[3], "other\n\nlast bit", texts[5], texts[6], "a b\n\n",
+    ]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r for r in unit_dedup.query(spark, str(tmp_path)).collect()}
+    assert {i: r["kept_sha256"] for i, r in found.items()} == {i: brute.sha(t.encode()) for i, t in enumerate(want)}
+    for i, text in enumerate(texts):
+        at, kept = 0, ""
+        for cut in found[i]["removed"]:
+            assert at <= cut["start"] < cut["end"]
+            kept, at = kept + text[at : cut["start"]], cut["end"]
+        assert kept + text[at:] == want[i]
+
+
 def test_mixing_meets_targets(docs, labels):
     model = mixing.train(docs, labels, ["quality", "toxic"])
     targets = {d: w for d, w in zip(model.domains, (0.1, 0.05, 0.7, 0.15), strict=False)}
