@@ -12,9 +12,16 @@ is verified by its cosine in double precision.
 
 A shard is dealt in blocks of ``BLOCK`` classes, each pair of blocks to a task
 of its own, so no task grows with a dense group.  Links are counted at one
-shard that both ends share, never written out as pairs.  Recall is measured
-against brute force for ``AUDIT`` vectors; below ``MIN_RECALL`` the search is
-repeated with more probes.
+shard that both ends share, never written out as pairs.
+
+A pair without a shared shard is lost, so probes are chosen for it: as many as
+let ``MIN_RECALL`` of planted pairs, sampled vectors and others at just the
+least cosine from them, share a shard.  Recall is then measured against brute
+force, for as many vectors of ``AUDIT`` as it takes to meet ``LINKED`` that
+have links (or for all, or for the most of ``AUDIT``).  It counts classes, not
+copies, and a vector with n links weighs 1/(n + 1), so a large group weighs as
+much as an isolated pair; below ``MIN_RECALL`` the search is repeated with more
+probes.  Where no vector asked has a link, recall is null: not measured.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing.  Vectors of different length never link.  A null id ranks after
@@ -38,7 +45,8 @@ COSINE = 0.95
 #: Vectors that centroids are fitted on, at most; shard size aimed at; block size.
 SAMPLE, SHARD, BLOCK, MOST_CENTROIDS = 20_000, 600, 1024, 8_192
 DEGREE, LONG_EDGES, CANDIDATES, ALPHA, BEAM, ENTRIES = 24, 4, 48, 1.2, 16, 4
-AUDIT, MIN_RECALL = 256, 0.99
+#: Vectors that are asked in the audit, few first; bytes of them; those with links that are enough; planted pairs.
+AUDIT, AUDIT_BYTES, LINKED, PLANTED, MIN_RECALL = (2_048, 16_384), 64 << 20, 200, 4_096, 0.99
 _LAST = (1 << 63) - 1
 
 
@@ -71,6 +79,23 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centroids
 
 
+def probes_for(centroids: np.ndarray, sample: np.ndarray, cosine: float) -> int:
+    """The least probes with which MIN_RECALL of planted pairs at the cosine share a cell."""
+    x, rng, need = sample[:PLANTED], np.random.default_rng(1), []
+    if x.shape[1] < 2 or len(centroids) < 2:
+        return 1
+    for i in range(0, len(x), 256):
+        one = x[i : i + 256]
+        off = rng.normal(size=one.shape)
+        off -= (off * one).sum(axis=1, keepdims=True) * one
+        off /= np.linalg.norm(off, axis=1, keepdims=True)
+        two = cosine * one + np.sqrt(max(0.0, 1 - cosine**2)) * off
+        ranks = [np.argsort(np.argsort(-(v @ centroids.T), axis=1), axis=1) for v in (one, two)]
+        need.append(np.maximum(*ranks).min(axis=1) + 1)
+    need = np.sort(np.concatenate(need))
+    return int(need[int(np.ceil(MIN_RECALL * len(need))) - 1])
+
+
 def robust_prune(near: np.ndarray, gram: np.ndarray, degree: int) -> list[np.ndarray]:
     """For each row of candidate lists (nearest first) those that no kept one hides."""
     out = []
@@ -142,7 +167,10 @@ def _packed(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = 3) -> DataFrame:
-    """One row for each row: id, n_links, component_id, kept, and recall as measured."""
+    """One row for each row: id, n_links, component_id, kept, and recall as measured (null if it is not).
+
+    probes is the least number of shards that a vector joins.
+    """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     plain = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(vector_col).alias("v"))
@@ -168,11 +196,13 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         sample = np.array([np.frombuffer(r["unit"]) for r in picked])
         k = min(MOST_CENTROIDS, max(1, round(n / SHARD)), len(sample))
         centroids[dims] = fit_centroids(sample, k)
+        probes = max(probes, probes_for(centroids[dims], sample, cosine))
+    truth = _truth(classes, sizes, cosine)
     held = spark.sparkContext.broadcast(centroids)  # at most MOST_CENTROIDS for each dimension count
     while True:
         found = _links(classes, held, sizes, probes, cosine, scratch)
-        recall = _audit(classes, found, cosine)
-        if recall >= MIN_RECALL or probes >= max((len(c) for c in centroids.values()), default=1):
+        recall = _audit(truth, found)
+        if recall is None or recall >= MIN_RECALL or probes >= max((len(c) for c in centroids.values()), default=1):
             break
         scratch.drop(found)
         probes *= 2
@@ -193,13 +223,13 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             F.nullif(F.coalesce("component_id", "id"), F.lit(_LAST)).alias("component_id"),
             (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
-            F.lit(recall).alias("recall"),
+            F.lit(recall).cast("double").alias("recall"),
         )
     )
 
 
 def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine: float, scratch: Scratch) -> DataFrame:
-    """(cls, links, least) partial sums: links found, and a smaller class that is reached."""
+    """(cls, links, n, least) partial sums: links found, classes linked, and a smaller class that is reached."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,7 +285,7 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
             at = np.minimum(np.searchsorted(cls, ids), len(cls) - 1)
             lists.append(at[cls[at] == ids])
         entries = medoids(gram)
-        links, pairs = np.zeros(len(cls), np.int64), np.zeros(gram.shape, bool)
+        links, n, pairs = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64), np.zeros(gram.shape, bool)
         for q in range(len(cls)):
             found = range_search(q, gram, lists, entries, cosine)
             if i != j:
@@ -265,12 +295,12 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
                 found = found[np.where(both, cells[found], np.iinfo(np.int64).max).min(axis=1) == cell]
             if len(found):
                 pairs[q, found] = True
-                links[q] = mult[found].sum()
+                links[q], n[q] = mult[found].sum(), len(found)
         pairs |= pairs.T
         some, least = pairs.any(axis=1), cls[local_roots(pairs)]
-        return pa.table({"cls": cls[some], "links": links[some], "least": least[some]}, schema=pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("least", pa.int64())]))
+        return pa.table({"cls": cls[some], "links": links[some], "n": n[some], "least": least[some]}, schema=pa.schema([(c, pa.int64()) for c in ("cls", "links", "n", "least")]))
 
-    return scratch.cut(dealt.join(united, "cls").groupBy("cell", "i", "j").applyInArrow(search, "cls long, links long, least long"))
+    return scratch.cut(dealt.join(united, "cls").groupBy("cell", "i", "j").applyInArrow(search, "cls long, links long, n long, least long"))
 
 
 def medoids(gram: np.ndarray) -> np.ndarray:
@@ -283,31 +313,44 @@ def medoids(gram: np.ndarray) -> np.ndarray:
     return np.array(chosen)
 
 
-def _audit(classes: DataFrame, found: DataFrame, cosine: float) -> float:
-    """The share of the links of AUDIT vectors that were found, against brute force."""
-    picked = classes.orderBy(F.xxhash64("cls", F.lit("audit")), "cls").limit(AUDIT).select("cls", "unit", "mult").collect()  # bounded
-    queries = {r["cls"]: np.frombuffer(r["unit"]) for r in picked}
+def _truth(classes: DataFrame, sizes: dict[int, int], cosine: float) -> DataFrame | None:
+    """(cls, truth): the number of linked classes, by brute force, of the audit's vectors that have any; None without such."""
+    spark, rows = classes.sparkSession, []
+    for most in AUDIT if sizes else ():
+        most = min(most, AUDIT_BYTES // (8 * max(sizes)) + 1)
+        picked = classes.orderBy(F.xxhash64("cls", F.lit("audit")), "cls").limit(most).select("cls", "unit", "dims").collect()  # bounded
+        asked = {d: ([r["cls"] for r in picked if r["dims"] == d], np.array([np.frombuffer(r["unit"]) for r in picked if r["dims"] == d])) for d in {r["dims"] for r in picked}}
+        sent = spark.sparkContext.broadcast({d: (np.array(names, np.int64), units) for d, (names, units) in asked.items()})
+
+        def brute(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            total = {d: np.zeros(len(names), np.int64) for d, (names, _) in sent.value.items()}
+            for batch in batches:
+                dims, cls, units = np.asarray(batch.column("dims")), np.asarray(batch.column("cls")), batch.column("unit").to_pylist()
+                for d in np.unique(dims).tolist():
+                    if d in total:
+                        names, queries = sent.value[d]
+                        mine = np.flatnonzero(dims == d)
+                        against = np.array([np.frombuffer(units[x]) for x in mine]).T
+                        for i in range(0, len(names), 512):
+                            near = (queries[i : i + 512] @ against >= cosine) & (names[i : i + 512, None] != cls[mine][None, :])
+                            total[d][i : i + 512] += near.sum(axis=1)
+            for d, n in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value[d][0][n > 0], pa.int64()), pa.array(n[n > 0], pa.int64())], names=["cls", "truth"])
+
+        rows = classes.select("cls", "unit", "dims").mapInArrow(brute, "cls long, truth long").groupBy("cls").agg(F.sum("truth").alias("truth")).collect()  # of those asked
+        if len(rows) >= LINKED or len(picked) < most:
+            break
+    return spark.createDataFrame([tuple(r) for r in rows], "cls long, truth long") if rows else None
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(queries)
-        total = dict.fromkeys(names, 0)
-        for batch in batches:
-            mult, dims = np.asarray(batch.column("mult")), np.asarray(batch.column("dims"))
-            cls, units = np.asarray(batch.column("cls")), batch.column("unit").to_pylist()
-            for d in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == d)
-                asked = [q for q in names if len(queries[q]) == d]
-                if asked:
-                    score = np.array([queries[q] for q in asked]) @ np.array([np.frombuffer(units[x]) for x in mine]).T
-                    near = (score >= cosine) & (np.array(asked)[:, None] != cls[mine][None, :])
-                    for q, n in zip(asked, (near @ mult[mine]).tolist(), strict=True):
-                        total[q] += n
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([total[q] for q in names], pa.int64())], names=["cls", "truth"])
-
-    truth = classes.select("cls", "unit", "mult", "dims").mapInArrow(brute, "cls long, truth long").groupBy("cls").agg(F.sum("truth").alias("truth"))
-    got = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    sums = truth.join(got, "cls", "left").agg(F.sum("truth").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "truth")).alias("g")).first()
-    return 1.0 if not sums["t"] else float(sums["g"]) / sums["t"]
+
+def _audit(truth: DataFrame | None, found: DataFrame) -> float | None:
+    """The share of a vector's links that was found, on average over groups; None if no vector asked has a link."""
+    if truth is None:
+        return None
+    got = F.broadcast(truth).join(found.groupBy("cls").agg(F.sum("n").alias("n")), "cls", "left")
+    weight, share = 1 / (F.col("truth") + 1), F.least(F.coalesce("n", F.lit(0)), "truth") / F.col("truth")
+    sums = got.agg(F.sum(weight * share).alias("g"), F.sum(weight).alias("t")).first()
+    return float(sums["g"]) / float(sums["t"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,23 @@ def test_vector_dedup(spark, monkeypatch, block):
     assert all(found[i] == (0, i, True) for i in range(900, 905)) and found[None][0] == 0
 
 
+def test_vector_recall_of_isolated_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 40)
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    one, off = unit(rng.normal(size=(1200, 24))), rng.normal(size=(400, 24))
+    off = unit(off - (off * one[:400]).sum(axis=1, keepdims=True) * one[:400])
+    pairs = 0.952 * one[:400] + np.sqrt(1 - 0.952**2) * off
+    hot = unit(one[-1] + rng.normal(size=(200, 24)) * 0.02)  # outweighs all pairs by links
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vector_dedup.vector_dedup(frame(np.concatenate([one, pairs, hot])), probes=1).collect()
+    links = {r["vec_id"]: r["n_links"] for r in found}
+    assert np.mean([links[i] > 0 for i in [*range(400), *range(1200, 1600)]]) >= 0.98
+    assert {r["recall"] >= 0.99 for r in found} == {True}
+    # no links at all: nothing that recall could be measured on
+    assert {(r["n_links"], r["recall"]) for r in vector_dedup.vector_dedup(frame(one[:50])).collect()} == {(0, None)}
+
+
 def test_unit_dedup(docs, rows):
     frame = unit_dedup.unit_dedup(docs)
     seen, want = set(), {}
