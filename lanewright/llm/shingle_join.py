@@ -6,8 +6,9 @@ without words has none and no links).  Texts with one set form a class.
 
 Each class has a key in every tree of the forest: the levels of a tree are
 MinHash values, the first level in the highest bits, so keys sort as a prefix
-trie does.  Matching starts at whole keys, and prefixes are shortened until a
-pair at the threshold is met in at least ``TARGET`` of cases by the forest.
+trie does.  Prefixes are as long as lets the forest meet a pair at the threshold
+in at least ``TARGET`` of cases.  That depth comes from the formula in
+``depth_for`` alone, 4 levels for the defaults; it is not measured on the data.
 Classes that share a prefix in some tree form candidate groups; within these
 all pairs are verified exactly on the shingle sets (of 64-bit hashes), in
 blocks, so that no task ever holds an unbounded group and pairs are counted
