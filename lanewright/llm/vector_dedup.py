@@ -8,7 +8,9 @@ factor ``ALPHA``), a few long edges are reserved, and reverse edges are added.
 A vector's adjacency lists from all its shards are united.  Each shard is then
 searched over the united lists: greedily from its medoids and from the query's
 own node, and from there outwards over everything within range.  What is found
-is verified by its cosine in double precision.
+is verified by its cosine in double precision, and a pair in range that the
+search of its shard missed is added from the same cosines, so each pair of a
+shard counts for both of its ends.
 
 A shard is dealt in blocks of ``BLOCK`` classes, each pair of blocks to a task
 of its own, so no task grows with a dense group.  Links are counted at one
@@ -285,9 +287,10 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
             at = np.minimum(np.searchsorted(cls, ids), len(cls) - 1)
             lists.append(at[cls[at] == ids])
         entries = medoids(gram)
-        links, n, pairs = np.zeros(len(cls), np.int64), np.zeros(len(cls), np.int64), np.zeros(gram.shape, bool)
+        pairs = np.zeros(gram.shape, bool)
         for q in range(len(cls)):
-            found = range_search(q, gram, lists, entries, cosine)
+            found = np.union1d(range_search(q, gram, lists, entries, cosine), np.flatnonzero(gram[q] >= cosine))
+            found = found[found != q]
             if i != j:
                 found = found[block[found] != block[q]]
             if len(found):  # only at the first shard that both share
@@ -295,8 +298,8 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
                 found = found[np.where(both, cells[found], np.iinfo(np.int64).max).min(axis=1) == cell]
             if len(found):
                 pairs[q, found] = True
-                links[q], n[q] = mult[found].sum(), len(found)
         pairs |= pairs.T
+        links, n = pairs @ mult, pairs.sum(axis=1)
         some, least = pairs.any(axis=1), cls[local_roots(pairs)]
         return pa.table({"cls": cls[some], "links": links[some], "n": n[some], "least": least[some]}, schema=pa.schema([(c, pa.int64()) for c in ("cls", "links", "n", "least")]))
 

@@ -159,6 +159,20 @@ def test_vector_recall_of_isolated_pairs(spark, monkeypatch):
     assert {(r["n_links"], r["recall"]) for r in vector_dedup.vector_dedup(frame(one[:50])).collect()} == {(0, None)}
 
 
+def test_vector_links_count_for_both_ends(spark, monkeypatch):
+    search = vector_dedup.range_search  # finds a pair from its larger end only, or in no shard at all
+    one_way = lambda q, *rest: (lambda found: found[found < q])(search(q, *rest))
+    base = vectors()[:40]
+    base[10:30] = base[7] + np.random.default_rng(6).normal(size=(20, 16)) * 0.1
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    for worse in (one_way, lambda *rest: np.zeros(0, np.int64)):
+        monkeypatch.setattr(vector_dedup, "range_search", worse)
+        assert got(vector_dedup.vector_dedup(frame), "n_links", key="vec_id") == {i: (int(n),) for i, n in enumerate(near.sum(1))}
+
+
 def test_unit_dedup(docs, rows):
     frame = unit_dedup.unit_dedup(docs)
     seen, want = set(), {}
