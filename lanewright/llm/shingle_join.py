@@ -161,6 +161,11 @@ def linked(sets: list[np.ndarray], left: np.ndarray, within: bool, threshold: Fr
 
 def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, class_id, n_links, component_id, kept, class_key."""
+    return _joined(docs, n, threshold, target, id_col, text_col).drop("group_key")
+
+
+def _joined(docs: DataFrame, n: int, threshold: float, target: float, id_col: str, text_col: str) -> DataFrame:
+    """shingle_join, and group_key: one class of the row's component, the same for all its rows; null without words."""
     scratch = Scratch(docs.sparkSession, "shingles")
     exact = Fraction(str(threshold))
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).alias("text"))
@@ -226,9 +231,9 @@ def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     of_class = scratch.cut(
         classes.select("cls", "class_id", "mult")
-        .join(joined.join(reach, "root").select(F.col("node").alias("cls"), "component_id"), "cls", "left")
+        .join(joined.join(reach, "root").select(F.col("node").alias("cls"), "root", "component_id"), "cls", "left")
         .join(links, "cls", "left")
-        .select("cls", "class_id", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+        .select("cls", "class_id", F.coalesce("root", "cls").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     )
     out = rows.select("id", "cls").join(of_class, "cls", "left")
     shown = lambda c: F.nullif(F.coalesce(c, F.col("id")), F.lit(_LAST))
@@ -239,17 +244,25 @@ def shingle_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
         shown(F.col("component_id")).alias("component_id"),
         (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
         F.col("cls").alias("class_key"),
+        F.col("root").alias("group_key"),
     )
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near duplicates: of each group the one with the smallest id.
+    """The rows of docs without near duplicates: of each group exactly one, that with the smallest id.
 
-    A null id is kept like any other; of rows that repeat id and text one stays.
+    A null id ranks after all others.  Of rows with that id the one with the
+    smallest class stays, then that with the smallest digests of its text and
+    of all its columns.  Rows without words are no group; of those that repeat
+    id and text one stays.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    done = scratch.cut(shingle_join(docs, n, threshold, target, id_col, text_col))
-    by_id = scratch.cut(done.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"), F.count_if("kept").alias("_kept")).where("_kept > 0"))
+    done = scratch.cut(_joined(docs, n, threshold, target, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("class_key").alias("key"), "group_key"))
+    first = done.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min(F.struct(F.col("_id").isNull().alias("last"), "_id", "key")).alias("x"))
+    wordless = done.where("group_key IS NULL").select("_id", "key").distinct()
+    keep = scratch.cut(first.select("x._id", "x.key").union(wordless))  # an id and a class, once each
+    counted = done.select("_id", F.lit(1).alias("r"), F.lit(0).alias("k")).union(keep.select("_id", F.lit(0), F.lit(1)))
+    by_id = scratch.cut(counted.groupBy("_id").agg(F.sum("r").alias("_rows"), F.sum("k").alias("_kept")).where("_kept > 0"))
 
     def rows(which: str) -> DataFrame:
         chosen = by_id.where(which).hint("shuffle_hash")
@@ -262,16 +275,17 @@ def keep_one(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, targ
         for batch in batches:
             for part in _text.pieces(batch, "text"):
                 some, cls = class_hash(*shingle_sets(part.column("text"), n))
-                key = np.zeros(len(part), np.int64)
-                key[some] = cls.view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(key)], names=["row", "key"])
+                key, none = np.zeros(len(part), np.int64), np.ones(len(part), bool)
+                key[some], none[some] = cls.view(np.int64), False
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(key, mask=none)], names=["row", "text", "key"])
 
-    # several rows share an id: its verdict goes by class
+    # several rows share an id: its verdict goes by class, and one row of the class stays
     packed = rows("_rows > 1").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    keyed = packed.mapInArrow(with_key, f"row {packed.schema['row'].dataType.simpleString()}, key long")
-    keep = done.where("kept").select(F.col(id_col).alias("_id"), F.coalesce("class_key", F.lit(0)).alias("key")).distinct()
-    chosen = keyed.join(keep, F.col(f"row.`{id_col}`").eqNullSafe(keep["_id"]) & (keyed["key"] == keep["key"]), "left_semi")
-    return rows("_rows = 1").union(chosen.select("row.*").dropDuplicates([id_col, text_col]))
+    keyed = packed.mapInArrow(with_key, f"row {packed.schema['row'].dataType.simpleString()}, text string, key long")
+    chosen = keyed.join(keep, F.col(f"row.`{id_col}`").eqNullSafe(keep["_id"]) & keyed["key"].eqNullSafe(keep["key"]), "left_semi")
+    rank = F.struct(F.sha2("text", 256), F.sha2(F.to_json("row"), 256))
+    one = chosen.groupBy(F.col(f"row.`{id_col}`"), "key", F.when(F.col("key").isNull(), F.col("text"))).agg(F.min_by("row", rank).alias("row"))
+    return rows("_rows = 1").union(one.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,21 @@ def test_shingle_join_in_blocks(docs, rows, monkeypatch):
     assert got(shingle_join.shingle_join(docs), "n_links", "component_id", "kept") == brute.near_pairs(rows)
 
 
+def test_keep_one_without_usable_ids(spark):
+    long = [f"w{i}" for i in range(100)]
+    near = [" ".join(long), " ".join([*long[:-1], "x"]), "  ".join(long), " ".join(f"v{i}" for i in range(9)), " ".join(f"v{i}" for i in range(9)) + " "]
+    other = [" ".join(f"u{i}" for i in range(k, 90)) for k in (0, 1, 2)]
+    alone = "this text is like no other"
+    rows = [*((None, t) for t in near), *((4, t) for t in other), (9, other[1]), (4, alone), (4, alone), (None, ""), (None, ""), (None, None), (4, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    found = [(r["doc_id"], r["text"]) for r in shingle_join.keep_one(docs).collect()]
+    count = lambda i, texts: sum(x in [(i, t) for t in texts] for x in found)
+    assert [count(None, near[:3]), count(None, near[3:]), count(4, other), count(9, other), count(4, [alone])] == [1, 1, 1, 0, 1]
+    assert [count(None, [""]), count(None, [None]), count(4, [" "]), len(found)] == [1, 1, 1, 7]
+    again = [(r["doc_id"], r["text"]) for r in shingle_join.keep_one(docs.repartition(5, "n")).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
 def vectors(n=300, dims=16):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(n, dims))
