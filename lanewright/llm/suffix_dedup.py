@@ -16,12 +16,16 @@ anchor at the same place, so they can only meet in the group of that k-gram.
    blind tries for groups with a long common prefix.  The common prefix
    lengths give, for every offset of the anchor in a window, the classes of
    equal windows; all but the earliest of a class go.
-   A group of more than ``GROUP`` different contexts is not held by one task:
-   its windows are dealt out and grouped by their digest instead.
+   One task holds at most ``GROUP`` contexts of a group.  A larger group is
+   split by longer strings first: the offsets that its windows have before the
+   anchor are halved, and for each half a context goes on to the group of the
+   bytes that all its windows of that half share, cut to those windows.  So a
+   context makes two rows a level at most, equal ones are united again, and
+   after seven levels at most every group is one window.
 5. Windows that go are laid over the text.
 
 Hashes only bring windows together; equality is decided on bytes (for whole
-copies and in over-full groups by SHA-256).
+copies by SHA-256).
 
 Null and empty texts have no bytes.  A null id ranks after all others.  Rows
 with one id and one text are one document; rows with one id and several texts
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +49,8 @@ from lanewright.llm._state import Scratch, read_table
 LENGTH, GRAM = 100, 32
 #: Bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 48
-#: Most different contexts of one k-gram that one task sorts.
-GROUP = 1_000
+#: Most different contexts of one string that one task sorts together.
+GROUP = 4_000
 #: Contexts sorted together.
 BLOCK = 20_000
 PIECE = 1_000_000
@@ -233,6 +238,29 @@ def earliest(contexts: list[bytes], before: np.ndarray, group: np.ndarray) -> np
     return keep
 
 
+def split(over: DataFrame) -> DataFrame:
+    """The contexts of over-full groups, dealt to the groups of longer strings.
+
+    A row judges its windows with lo to hi bytes before the anchor.  All those
+    share the string from lo bytes before the anchor to LENGTH - hi behind it.
+    """
+    halves = F.array(F.struct(F.col("lo").alias("lo"), F.expr("(lo + hi) div 2").alias("hi")), F.struct(F.expr("(lo + hi) div 2 + 1").alias("lo"), F.col("hi").alias("hi")))
+    half = over.withColumn("half", F.explode(halves)).withColumns({"lo": F.col("half.lo"), "hi": F.col("half.hi"), "size": F.octet_length("context")})
+    mine = half.where(f"greatest(lo, {LENGTH} - (size - before)) <= least(hi, before)")
+    core = F.expr(f"substring(context, cast(before - lo + 1 as int), cast({LENGTH} - (hi - lo) as int))")
+    start, stop = F.expr("greatest(0, before - hi)"), F.expr(f"least(size, before + {LENGTH} - lo)")
+    cut = mine.withColumns({"gram": F.xxhash64("gram", "lo", core), "start": start, "stop": stop}).withColumns(
+        {"context": F.expr("substring(context, cast(start + 1 as int), cast(stop - start as int))"), "before": F.col("before") - F.col("start")}
+    )
+    return _united(cut)
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """Equal contexts of one group as one, the earliest."""
+    least = found.groupBy("gram", "lo", "hi", "context", "before").agg(F.min(F.struct("id", "sha", "at")).alias("x"))
+    return least.select("gram", "lo", "hi", "context", "before", "x.id", "x.sha", "x.at")
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for part in _text.pieces(batch, "text", PIECE):
         yield (part, *_text.flat(part.column("text")))
@@ -306,13 +334,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     found = within.mapInArrow(contexts, "gram long, context binary, before long, id long, sha long, at long")
-    unique = scratch.cut(
-        found.groupBy("gram", "context", "before").agg(F.min(F.struct("id", "sha", "at")).alias("x")).select("gram", "context", "before", "x.id", "x.sha", "x.at")
-    )
+    whole_range = {"lo": F.lit(0).cast("long"), "hi": F.lit(_SPAN - 1).cast("long")}
+    groups = scratch.cut(_united(found.withColumns(whole_range)))
     scratch.release()
-    sizes = scratch.cut(unique.groupBy("gram").agg(F.count("*").alias("n")))
-    few = unique.join(sizes.where(F.col("n") <= GROUP), "gram").drop("n")
-    full = unique.join(sizes.where(F.col("n") > GROUP), "gram").drop("n")
+    ready: list[DataFrame] = []
+    while True:  # seven times at most
+        full = scratch.cut(groups.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("gram"))
+        if full.isEmpty():
+            ready.append(groups)
+            break
+        ready.append(groups.join(full, "gram", "left_anti"))
+        groups = scratch.cut(split(groups.join(full, "gram", "left_semi")))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -338,22 +370,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from done(True)
 
     spans = "id long, sha long, low long, high long"
-    sorted_ = few.repartition("gram").sortWithinPartitions("gram", "id", "sha", "at").mapInArrow(sort, spans)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for context, before, i, sha, at in zip(*(batch.column(c).to_pylist() for c in ("context", "before", "id", "sha", "at")), strict=True):
-                n = len(context) - LENGTH + 1
-                key = [hashlib.sha256(context[k : k + LENGTH]).digest() for k in range(n)]
-                start = [at - before + k for k in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.binary()), pa.array([i] * n, pa.int64()), pa.array([sha] * n, pa.int64()), pa.array(start, pa.int64())], names=["key", "id", "sha", "low"]
-                )
-
-    dealt = full.select("context", "before", "id", "sha", "at").mapInArrow(windows, "key binary, id long, sha long, low long")
-    dealt = dealt.groupBy("key").agg(F.min(F.struct("id", "sha", "low")).alias("x")).select("x.id", "x.sha", "x.low", F.col("x.low").alias("high"))
-    kept = scratch.cut(sorted_.union(dealt))
-    scratch.drop(unique)
+    kept = scratch.cut(reduce(DataFrame.union, ready).repartition("gram").sortWithinPartitions("gram", "id", "sha", "at").mapInArrow(sort, spans))
+    scratch.drop(groups)
     stay = kept.groupBy("id", "sha").agg(F.collect_list(F.struct("low", "high")).alias("stay"))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,24 @@ def test_suffix_dedup_of_overfull_groups(docs, rows, monkeypatch):
     assert found == brute.substrings(rows)
 
 
+def test_suffix_dedup_of_one_large_group(spark, monkeypatch):
+    """5,000 texts share one passage of 60 bytes amid others that differ, some of them in one byte far away."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, sides = word(60), [(word(70), word(70)) for _ in range(40)]
+    rows = []
+    for i in range(5_000):
+        left, right = rng.choice(sides)
+        left = word(70) if i % 2 else left[: (k := rng.randrange(70))] + "Z" + left[k + 1 :]
+        rows.append((i, left + passage + (word(70) if i % 3 else right)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made, plain = [], suffix_dedup.split
+    monkeypatch.setattr(suffix_dedup, "split", lambda over: made.append((over.count(), (out := plain(over)).count())) or out)
+    found = got(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert found == brute.substrings(rows)
+    assert made and all(n > suffix_dedup.GROUP and after <= 2 * n for n, after in made)
+
+
 def test_deep_shallow_sort():
     rng = random.Random(3)
     base = [bytes(rng.choice(b"ab") for _ in range(100)) for _ in range(5)]
