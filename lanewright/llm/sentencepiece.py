@@ -4,6 +4,8 @@ A text is split into *marked words* (``▁+`` and what follows up to the next
 ``▁``), which no piece of the model crosses.  The distinct words of a batch
 are sorted, which is a depth-first walk of their trie: the forward column of
 a prefix is computed once and kept on a stack for all words that share it.
+A column holds the last piece (and its score); the pieces of a word are read
+off backwards from its last column, so memory grows with a word's length only.
 
 The forward step depends on the model:
 
@@ -42,8 +44,8 @@ from lanewright.llm._state import read_table
 MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
-#: Distinct words whose pieces a Python worker remembers between batches.
-CACHE_WORDS = 150_000
+#: Distinct words, their bytes, and pairs of pieces that a Python worker remembers between batches.
+CACHE_WORDS, CACHE_BYTES, CACHE_PAIRS = 150_000, 16 << 20, 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -118,6 +120,7 @@ class PieceModel:
             else:
                 shown.append(p.replace(MARK, " ").encode())
         self.shown = shown
+        self.size = [len(p) for p in names]
         self._follows: dict[int, bool] = {}
         self._halves: dict[str, tuple[str, str]] = {}
         self._left: dict[int, list] = {}
@@ -207,61 +210,85 @@ class PieceModel:
                         j += 1
                     else:
                         break
+            if len(self._follows) >= CACHE_PAIRS:
+                self._follows.clear()
             self._follows[key] = known
         return known
 
 
 class SharedPrefixViterbi:
-    """Encodes sorted words; a column is (pieces so far, last id, score)."""
+    """Encodes sorted words; a column is the last piece (-1: a fallback character) and its score."""
 
     def __init__(self, model: PieceModel):
         self.model = model
 
-    def encode_sorted(self, words: list[str]) -> Iterator[tuple[int, ...]]:
-        model = self.model
-        matches, longest, follows, bpe = model.match.iter, model.longest, model.follows, model.kind == BPE
-        columns: list[tuple] = [((), -1, 0.0)]
+    def encode_sorted(self, words: list[str]) -> Iterator[list[int]]:
+        columns = self.best if self.model.kind == UNIGRAM else self.merged
+        last: list[int] = [-1]
+        score: list[float] = [0.0]
         before = ""
         for word in words:
             depth, most = 0, min(len(before), len(word))
             while depth < most and before[depth] == word[depth]:
                 depth += 1
-            del columns[depth + 1 :]
-            reached = depth
-            for last, (piece, size) in matches(word, max(0, depth - longest + 1)):  # by end, longest first
-                end = last + 1
-                if end <= depth or (bpe and end == reached and columns[end][1] >= 0):
-                    continue
-                while reached < end - 1:
-                    reached += 1
-                    columns.append(self.no_piece(word, columns, reached))
-                done, left, score = columns[end - size]
-                if bpe:
-                    if not follows(left, piece):
-                        continue
-                    score = 0.0
-                else:
-                    score += model.scores[piece]
-                    if end == reached and score <= columns[end][2]:
-                        continue
-                found = ((*done, piece), piece, score)
-                if end == reached:
-                    columns[end] = found
-                else:
-                    reached = end
-                    columns.append(self.no_piece(word, columns, end) if not bpe and word[last] not in model.ids else found)
-                    if not bpe and columns[end][2] < score:
-                        columns[end] = found
-            while reached < len(word):
-                reached += 1
-                columns.append(self.no_piece(word, columns, reached))
+            del last[depth + 1 :], score[depth + 1 :]
+            columns(word, depth, last, score)
+            last.extend([-1] * (len(word) + 1 - len(last)))
             before = word
-            yield columns[len(word)][0]
+            yield self.pieces(word, last)
+
+    def merged(self, word: str, depth: int, last: list[int], score: list[float]) -> None:
+        """Appends the columns beyond depth of a BPE model, up to the last piece."""
+        model = self.model
+        follows, reached = model.follows, depth
+        for at, (piece, size) in model.match.iter(word, max(0, depth - model.longest + 1)):  # by end, longest first
+            end = at + 1
+            if end > reached:
+                left = end - size
+                if follows(last[left] if left <= reached else -1, piece):
+                    if end - reached > 1:
+                        last.extend([-1] * (end - 1 - reached))
+                    last.append(piece)
+                    reached = end
 
-    def no_piece(self, word: str, columns: list[tuple], end: int) -> tuple:
-        """The column where no piece ends: the character falls back to bytes."""
-        done, _, score = columns[end - 1]
-        return done + self.model.fallback(word[end - 1]), -1, score + self.model.floor
+    def best(self, word: str, depth: int, last: list[int], score: list[float]) -> None:
+        """Appends the columns beyond depth of a unigram model."""
+        model, reached = self.model, depth
+        for at, (piece, size) in model.match.iter(word, max(0, depth - model.longest + 1)):
+            end = at + 1
+            if end <= depth:
+                continue
+            while reached < end - 1:
+                reached += 1
+                last.append(-1)
+                score.append(score[-1] + model.floor)
+            total = score[end - size] + model.scores[piece]
+            if end > reached:
+                reached = end
+                alone = score[-1] + model.floor if word[at] not in model.ids else -np.inf
+                last.append(piece if total > alone else -1)
+                score.append(max(total, alone))
+            elif total > score[end]:
+                last[end], score[end] = piece, total
+        while reached < len(word):
+            reached += 1
+            last.append(-1)
+            score.append(score[-1] + model.floor)
+
+    def pieces(self, word: str, last: list[int]) -> list[int]:
+        """The ids of a word, read off its columns backwards."""
+        out: list[int] = []
+        end, size = len(word), self.model.size
+        while end:
+            piece = last[end]
+            if piece < 0:
+                out += reversed(self.model.fallback(word[end - 1]))
+                end -= 1
+            else:
+                out.append(piece)
+                end -= size[piece]
+        out.reverse()
+        return out
 
 
 class Codec:
@@ -280,12 +307,14 @@ class Codec:
     def forget(self) -> None:
         self.model._follows.clear()
         self.number: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.size, self.at = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         """Adds words, all distinct, that are not known yet."""
         found = list(self.viterbi.encode_sorted([w.replace(b" ", MARK.encode()).decode() for w in words]))
         base = len(self.number)
+        self.held += sum(map(len, words))
         self.number.update(zip(words, range(base, base + len(words)), strict=True))
         size = np.array([len(x) for x in found], np.int64)
         flat = np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))
@@ -295,7 +324,7 @@ class Codec:
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Rows of the word memory for these sorted, distinct words."""
         new = [w for w in words if w not in self.number]
-        if len(self.number) + len(new) > CACHE_WORDS:
+        if len(self.number) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.forget()
             new = words
         self.learn(new)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -276,6 +277,21 @@ def test_sentencepiece_equals_the_library(docs, rows):
     assert got(back, "text") == {i: (t,) for i, t, *_ in rows}
 
 
+def test_sentencepiece_of_long_unbroken_texts():
+    library = pytest.importorskip("sentencepiece")
+    data, rng = sentencepiece.model_bytes(), random.Random(4)
+    lib, codec = library.SentencePieceProcessor(model_proto=data), sentencepiece.Codec(sentencepiece.PieceModel(data))
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = ["".join(rng.choice(signs) for _ in range(200_000)), "".join(rng.choice("日本語的世界中文字é𝔘ñ") for _ in range(50_000))]
+    texts.append(texts[0][:100_000])
+    tracemalloc.start()
+    ids, at = codec.encode(pa.array(texts))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [lib.encode(t) for t in texts]
+    assert most < 300 << 20
+
+
 def test_unigram_viterbi():
     def field(number, data):
         return bytes([number << 3 | 2, len(data)]) + data
