@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import tracemalloc
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +137,43 @@ def test_shingle_join_in_blocks(docs, rows, monkeypatch):
     assert got(shingle_join.shingle_join(docs), "n_links", "component_id", "kept") == brute.near_pairs(rows)
 
 
+def test_forest_prefixes_are_shortened_until_the_target():
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(200)]
+    sample = shingle_join.Sample(sets, Fraction("0.8"))
+    levels = sample.planted()
+    assert len(levels) == 200 * shingle_join.PLANTED
+    for depth in (3, 5, 6):  # what the formula says of pairs at the threshold
+        assert abs((levels >= depth).mean() - (1 - (1 - 0.8**depth) ** shingle_join.TREES)) < 0.02
+    # links by brute force: one set each is near, far, equal
+    near = [np.sort(np.append(x[10:], rng.integers(0, 1 << 63, 5).astype(np.uint64))) for x in sets[:40]]
+    other = [*near, *sets[40:50], *(x[:200] for x in sets[50:60])]
+    value, off = np.concatenate(other), np.append(0, np.cumsum([len(x) for x in other]))
+    _, cls = shingle_join.class_hash(value, off)
+    found = sample.links(value, off, cls, shingle_join.tree_keys(value, off[:-1]))
+    assert sorted(q for q, _, n in found) == list(range(40)) and all(n == 1 and levels > 2 for _, levels, n in found)
+
+
+def test_shingle_join_measures_recall(docs, rows):
+    out = shingle_join.shingle_join(docs).select("recall").distinct().collect()
+    assert [r["recall"] for r in out] == [1.0]
+
+
+def test_shingle_join_of_one_dense_group(spark):
+    """900 near copies, in which most pairs are linked and some are not, amid texts that share a passage."""
+    rng = random.Random(5)
+    base, passage = [f"w{i}" for i in range(60)], " ".join(f"p{i}" for i in range(12))
+    rows = []
+    for i in range(900):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(900 + i, f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(shingle_join.shingle_join(docs), "n_links", "component_id", "kept") == brute.near_pairs(rows)
+
+
 def test_keep_one_without_usable_ids(spark):
     long = [f"w{i}" for i in range(100)]
     near = [" ".join(long), " ".join([*long[:-1], "x"]), "  ".join(long), " ".join(f"v{i}" for i in range(9)), " ".join(f"v{i}" for i in range(9)) + " "]
