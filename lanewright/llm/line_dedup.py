@@ -9,13 +9,18 @@ id.
 
 * ``refs``: an append-only log of (digest, id, delta).  The pairs whose deltas
   sum to one or more are exactly the documents that hold a key now.
-* ``filters``: for each shard of the digests a scalable cuckoo filter with
-  min(reference count, 2) copies of each fingerprint.  A lookup that finds
-  fewer than two copies proves that a key is not repeated, and one that finds
-  none proves that it is new, so the exact table is only read for the rest.
+* ``filters``: for each shard of the digests a cuckoo filter with min(reference
+  count, 2) copies of each fingerprint.  A lookup that finds fewer than two
+  copies proves that a key is not repeated, and one that finds none proves that
+  it is new, so the exact table is only read for the rest.  There is one shard
+  for every ``KEYS`` keys; when the filters are filled up they are built anew
+  from the exact counts, with more shards.  Keys and filters meet by a shuffle
+  on the shard, at every size.
 
 Inserting adds pairs and copies, deleting documents takes them away again, so
-any sequence of both leaves what a fresh index of the live documents holds.
+any sequence of both leaves what a fresh index of the live documents holds.  A
+shard has one filter, and keys that share a fingerprint and a pair of buckets
+are one to it, so taking away a key's copy never takes another's.
 
 Null and empty texts are one empty line.  A null id ranks after every other.
 Rows that share an id count as one document for references and are each
@@ -29,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +41,8 @@ from lanewright.llm import _text
 from lanewright.llm._state import Scratch, read_table
 
 MIN_CHARS = 10
-SHARDS = 256
-#: All filters together may be broadcast up to this size; beyond it lines are
-#: looked up in the exact table by a shuffled join instead.
-BROADCAST_BYTES = 64 << 20
+#: Keys of a shard, and the least shards.
+KEYS, SHARDS = 250_000, 8
 _SPACE = b" \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 
@@ -57,106 +59,113 @@ def digest(key: bytes) -> bytes:
     return hashlib.md5(key, usedforsecurity=False).digest()
 
 
-def shard_of(name: str = "digest", shards: int = SHARDS):
+def shard_of(shards: int, name: str = "digest"):
     return (F.conv(F.hex(F.substring(name, 1, 4)), 16, 10).cast("long") % shards).cast("int")
 
 
 class CuckooFilter:
-    """16-bit fingerprints, four to a bucket, two buckets for each key."""
+    """16-bit fingerprints, four to a bucket, two buckets for each key; whole batches at once.
 
-    SLOTS, KICKS = 4, 200
+    The few fingerprints that find no place are kept, with their buckets, in a
+    sorted stash.
+    """
 
-    def __init__(self, buckets: int, cells: np.ndarray | None = None, used: int = 0):
-        self.buckets, self.used = buckets, used
-        self.cells = np.zeros(buckets * self.SLOTS, np.uint16) if cells is None else cells
-        self.state = 1
+    SLOTS, ROUNDS, LOAD = 4, 200, 0.8
 
-    @staticmethod
-    def split(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(fingerprint, place) from the last ten bytes of 16-byte digests."""
-        raw = digests.reshape(-1, 16)
-        mark = raw[:, 6:8].copy().view(np.uint16).ravel()
-        return np.where(mark == 0, np.uint16(1), mark), raw[:, 8:16].copy().view(np.uint64).ravel()
-
-    def other(self, bucket: int, mark: int) -> int:
-        return bucket ^ (mark * 0x5BD1E995 >> 3) & (self.buckets - 1)
-
-    def copies(self, mark: np.ndarray, place: np.ndarray) -> np.ndarray:
-        one = (place & np.uint64(self.buckets - 1)).astype(np.int64)
-        two = one ^ ((mark.astype(np.int64) * 0x5BD1E995 >> 3) & (self.buckets - 1))
-        table = self.cells.reshape(-1, self.SLOTS)
-        found = (table[one] == mark[:, None]).sum(1)
-        return found + np.where(one == two, 0, (table[two] == mark[:, None]).sum(1))
-
-    def add(self, mark: int, place: int) -> bool:
-        if self.used >= 0.93 * len(self.cells):
-            return False
-        cells, n = self.cells, self.SLOTS
-        bucket = place & (self.buckets - 1)
-        moved: list[int] = []
-        for kick in range(self.KICKS):
-            for b in (bucket, self.other(bucket, mark)) if not kick else (bucket,):
-                for i in range(b * n, b * n + n):
-                    if not cells[i]:
-                        cells[i] = mark
-                        self.used += 1
-                        return True
-            self.state = self.state * 1103515245 + 12345 & 0x7FFFFFFF
-            i = bucket * n + (self.state >> 16) % n
-            moved.append(i)
-            mark, cells[i] = int(cells[i]), mark
-            bucket = self.other(bucket, mark)
-        for i in reversed(moved):  # no room: put everything back
-            mark, cells[i] = int(cells[i]), mark
-        return False
-
-    def remove(self, mark: int, place: int) -> bool:
-        bucket = place & (self.buckets - 1)
-        for b in (bucket, self.other(bucket, mark)):
-            for i in range(b * self.SLOTS, (b + 1) * self.SLOTS):
-                if self.cells[i] == mark:
-                    self.cells[i] = 0
-                    self.used -= 1
-                    return True
-        return False
-
-
-class ScalableCuckoo:
-    """Cuckoo filters of growing size; a full one gets a larger one beside it."""
-
-    def __init__(self, parts: list[CuckooFilter] | None = None):
-        self.parts = parts or []
+    def __init__(self, buckets: int, cells: np.ndarray | None = None, stash: np.ndarray | None = None):
+        self.buckets = buckets
+        self.cells = np.zeros((buckets, self.SLOTS), np.uint16) if cells is None else cells
+        self.stash = np.zeros(0, np.int64) if stash is None else stash
 
     @classmethod
-    def load(cls, data: bytes) -> ScalableCuckoo:
-        parts, at = [], 0
-        while at < len(data):
-            buckets, used = np.frombuffer(data, np.int64, 2, at)
-            cells = np.frombuffer(data, np.uint16, int(buckets) * CuckooFilter.SLOTS, at + 16).copy()
-            parts.append(CuckooFilter(int(buckets), cells, int(used)))
-            at += 16 + cells.nbytes
-        return cls(parts)
+    def for_copies(cls, n: int) -> CuckooFilter:
+        return cls(1 << max(2, int(np.ceil(np.log2(n / cls.LOAD / cls.SLOTS + 1)))))
+
+    @classmethod
+    def load(cls, data: bytes) -> CuckooFilter:
+        buckets, stash = (int(x) for x in np.frombuffer(data, np.int64, 2))
+        cells = np.frombuffer(data, np.uint16, buckets * cls.SLOTS, 16).copy().reshape(-1, cls.SLOTS)
+        return cls(buckets, cells, np.frombuffer(data, np.int64, stash, 16 + cells.nbytes))
 
     def dump(self) -> bytes:
-        return b"".join(np.array([p.buckets, p.used], np.int64).tobytes() + p.cells.tobytes() for p in self.parts)
+        return np.array([self.buckets, len(self.stash)], np.int64).tobytes() + self.cells.tobytes() + self.stash.tobytes()
+
+    def used(self) -> int:
+        return int(np.count_nonzero(self.cells)) + len(self.stash)
+
+    def split(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, bucket) from the last ten bytes of 16-byte digests."""
+        raw = digests.reshape(-1, 16)
+        mark = raw[:, 6:8].copy().view(np.uint16).ravel()
+        place = raw[:, 8:16].copy().view(np.uint64).ravel()
+        return np.where(mark == 0, np.uint16(1), mark), (place & np.uint64(self.buckets - 1)).astype(np.int64)
+
+    def other(self, mark: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return bucket ^ ((mark.astype(np.int64) * 0x5BD1E995 >> 3) & (self.buckets - 1))
+
+    def code(self, mark: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Fingerprint and pair of buckets as one number."""
+        return np.minimum(bucket, self.other(mark, bucket)) << 16 | mark
 
     def copies(self, digests: np.ndarray) -> np.ndarray:
-        mark, place = CuckooFilter.split(digests)
-        return sum((p.copies(mark, place) for p in self.parts), np.zeros(len(mark), np.int64))
+        mark, one = self.split(digests)
+        two, code = self.other(mark, one), self.code(mark, one)
+        found = (self.cells[one] == mark[:, None]).sum(1)
+        found += np.where(one == two, 0, (self.cells[two] == mark[:, None]).sum(1))
+        return found + np.searchsorted(self.stash, code, side="right") - np.searchsorted(self.stash, code)
 
     def change(self, digests: np.ndarray, by: np.ndarray) -> None:
         """Adds (or, below zero, removes) so many copies of each digest."""
-        mark, place = CuckooFilter.split(digests)
-        new = int(by[by > 0].sum())
-        if new and (not self.parts or new > 0.9 * len(self.parts[-1].cells) - self.parts[-1].used):
-            self.parts.append(CuckooFilter(1 << max(4, int(np.ceil(np.log2(new / 0.8 / CuckooFilter.SLOTS + 1))))))
-        for m, p, n in zip(mark.tolist(), place.tolist(), by.tolist(), strict=True):
-            for _ in range(n):
-                while not self.parts[-1].add(m, p):
-                    self.parts.append(CuckooFilter(2 * self.parts[-1].buckets))
-            for _ in range(-n):
-                if not any(part.remove(m, p) for part in self.parts):
-                    raise ValueError("removing a key that the filter doesn't hold")
+        mark, bucket = self.split(digests)
+        for sign, act in ((-1, self._remove), (1, self._add)):
+            times = np.maximum(by * sign, 0)
+            act(np.repeat(mark, times), np.repeat(bucket, times))
+
+    def _fill(self, mark: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Puts fingerprints into free slots of their buckets; returns the others."""
+        order = np.argsort(bucket, kind="stable")
+        mark, bucket = mark[order], bucket[order]
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        rank = np.arange(len(bucket)) - np.repeat(start, np.diff(np.append(start, len(bucket))))
+        free = self.cells[bucket] == 0
+        fits = rank < free.sum(1)
+        slot = (free & (np.cumsum(free, axis=1) == rank[:, None] + 1)).argmax(1)
+        self.cells[bucket[fits], slot[fits]] = mark[fits]
+        return mark[~fits], bucket[~fits]
+
+    def _add(self, mark: np.ndarray, bucket: np.ndarray) -> None:
+        rng = np.random.default_rng(len(mark))
+        for _ in range(self.ROUNDS):
+            for _ in range(2):
+                if len(mark):
+                    mark, bucket = self._fill(mark, bucket)
+                    bucket = self.other(mark, bucket)
+            if not len(mark):
+                return
+            # both buckets are full: one newcomer of each takes an older one's place, which moves on
+            _, first = np.unique(bucket, return_index=True)
+            slot = rng.integers(0, self.SLOTS, len(first))
+            old = self.cells[bucket[first], slot]
+            self.cells[bucket[first], slot] = mark[first]
+            mark[first], bucket[first] = old, self.other(old, bucket[first])
+        self.stash = np.sort(np.concatenate([self.stash, self.code(mark, bucket)]))
+
+    def _remove(self, mark: np.ndarray, bucket: np.ndarray) -> None:
+        codes, times = np.unique(self.code(mark, bucket), return_counts=True)
+        while len(codes):  # one copy of each a round; two codes never share a slot
+            mark, one = (codes & 0xFFFF).astype(np.uint16), codes >> 16
+            took = np.zeros(len(codes), bool)
+            for at in (one, self.other(mark, one)):
+                hit = self.cells[at] == mark[:, None]
+                mine = hit.any(1) & ~took
+                self.cells[at[mine], hit[mine].argmax(1)] = 0
+                took |= mine
+            rest = codes[~took]
+            at = np.searchsorted(self.stash, rest)
+            if len(rest) and (at >= len(self.stash)).any() or (self.stash[at] != rest).any():
+                raise ValueError("removing a key that the filter doesn't hold")
+            self.stash = np.delete(self.stash, at)
+            codes, times = codes[times > 1], times[times > 1] - 1
 
 
 def _binary(column) -> np.ndarray:
@@ -183,12 +192,13 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
 class LineIndex:
     """The index; each change writes new files and swaps them in at its end."""
 
-    def __init__(self, spark: SparkSession, shards: int = SHARDS):
-        self.spark, self.shards = spark, shards
+    def __init__(self, spark: SparkSession, keys: int = KEYS):
+        self.spark, self.keys = spark, keys
         self.scratch = Scratch(spark, "lines")
         self.refs: DataFrame | None = None
         self.filters: DataFrame | None = None
-        self.filter_bytes = 0
+        self.shards = self.room = self.used = 0
+        self.mixed = False  # whether the log has more than one insertion's pairs
 
     @staticmethod
     def plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -196,114 +206,103 @@ class LineIndex:
 
     def live(self) -> DataFrame:
         """The exact pairs (digest, id) that are held now."""
+        if not self.mixed:
+            return self.refs.select("digest", "id")
         return self.refs.groupBy("digest", "id").agg(F.sum("delta").alias("n")).where("n > 0").select("digest", "id")
 
     def counts(self, within: DataFrame | None = None) -> DataFrame:
         """(digest, n_docs, first_id): the exact reference counts."""
-        pairs = self.live() if self.mixed else self.refs
+        pairs = self.live()
         if within is not None:
             pairs = pairs.join(within.select("digest"), "digest", "left_semi")
         return pairs.groupBy("digest").agg(F.count("*").alias("n_docs"), F.min("id").alias("first_id"))
 
-    mixed = False  # whether the log has more than one insertion's pairs
-
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Adds all lines of docs; pairs that are there already stay once."""
         pairs = keyed_lines(self.plain(docs, id_col, text_col)).dropDuplicates(["digest", "id"])
         if self.refs is None:
-            log = self.scratch.cut(pairs.withColumn("delta", F.lit(1)))
-            self.refs = log
-            change = log.groupBy("digest").agg(F.count("*").alias("n")).select("digest", F.least("n", F.lit(2)).cast("int").alias("by"))
-        else:
-            pairs = self.scratch.cut(pairs.join(self.live(), ["digest", "id"], "left_anti"))
-            fresh = pairs.groupBy("digest").agg(F.count("*").alias("n"))
-            held = self.counts(self._lookup(fresh).where("copies > 0"))
-            change = fresh.join(held, "digest", "left").select(
-                "digest", (F.least(F.col("n") + F.coalesce("n_docs", F.lit(0)), F.lit(2)) - F.least(F.coalesce("n_docs", F.lit(0)), F.lit(2))).cast("int").alias("by")
-            )
-            self.mixed = True
+            self.refs = self.scratch.cut(pairs.withColumn("delta", F.lit(1)))
+            self._rebuild()
+            return
+        pairs = self.scratch.cut(pairs.join(self.live(), ["digest", "id"], "left_anti"))
+        fresh = pairs.groupBy("digest").agg(F.count("*").alias("n"))
+        held = self.counts(self._lookup(fresh).where("copies > 0"))
+        now, new = F.coalesce("n_docs", F.lit(0)), F.col("n")
+        change = self.scratch.cut(fresh.join(held, "digest", "left").select("digest", (F.least(now + new, F.lit(2)) - F.least(now, F.lit(2))).cast("int").alias("by")).where("by <> 0"))
+        self.refs, self.mixed = self.refs.unionByName(pairs.withColumn("delta", F.lit(1))), True
         self._apply(change)
-        if self.mixed:
-            self.refs = self.refs.unionByName(pairs.withColumn("delta", F.lit(1)))
+        self.scratch.drop(change)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id") -> None:
         """Takes all lines of these documents out again."""
         gone = ids.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id")).distinct()
         pairs = self.scratch.cut(self.live().join(gone, "id", "left_semi"))
         fewer = pairs.groupBy("digest").agg(F.count("*").alias("n"))
-        change = fewer.join(self.counts(fewer), "digest").select(
-            "digest", (F.least(F.col("n_docs") - F.col("n"), F.lit(2)) - F.least("n_docs", F.lit(2))).cast("int").alias("by")
-        )
+        left = F.col("n_docs") - F.col("n")
+        change = self.scratch.cut(fewer.join(self.counts(fewer), "digest").select("digest", (F.least(left, F.lit(2)) - F.least("n_docs", F.lit(2))).cast("int").alias("by")).where("by <> 0"))
+        self.refs, self.mixed = self.refs.unionByName(pairs.withColumn("delta", F.lit(-1))), True
         self._apply(change)
-        self.refs = self.refs.unionByName(pairs.withColumn("delta", F.lit(-1)))
-        self.mixed = True
+        self.scratch.drop(change)
 
     def _stored(self) -> DataFrame:
-        return self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary")
+        return self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary, room long, used long")
 
     def _lookup(self, keys: DataFrame) -> DataFrame:
         """(digest, copies) of these distinct digests."""
 
         def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             stored = right.column("filter").to_pylist()
-            cuckoo = ScalableCuckoo.load(stored[0]) if stored else ScalableCuckoo()
+            cuckoo = CuckooFilter.load(stored[0]) if stored else CuckooFilter(1)
             return pa.table({"digest": left.column("digest"), "copies": pa.array(cuckoo.copies(_binary(left.column("digest"))), pa.int64())})
 
-        left = keys.select(shard_of(shards=self.shards).alias("shard"), "digest")
+        left = keys.select(shard_of(self.shards).alias("shard"), "digest")
         return left.groupBy("shard").cogroup(self._stored().groupBy("shard")).applyInArrow(work, "digest binary, copies long")
 
+    def _rebuild(self) -> None:
+        """Filters from the exact counts, with room for as many copies again."""
+        old = self.filters
+        counted = self.scratch.cut(self.counts().select("digest", F.least("n_docs", F.lit(2)).cast("int").alias("by")))
+        self.filters, self.shards = None, max(SHARDS, -(-counted.count() // self.keys))
+        self._update(counted)
+        self.scratch.drop(counted, *([old] if old is not None else []))
+
     def _apply(self, change: DataFrame) -> None:
-        """Updates the filters of all shards by (digest, by)."""
+        """Updates the filters by (digest, by); if they'd be too full, they are built anew."""
+        new = change.agg(F.coalesce(F.sum(F.greatest("by", F.lit(0))), F.lit(0))).first()[0]
+        if self.used + new > CuckooFilter.LOAD * self.room:
+            self._rebuild()
+        else:
+            old = self.filters
+            self._update(change)
+            self.scratch.drop(old)
 
+    def _update(self, change: DataFrame) -> None:
         def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            stored = right.column("filter").to_pylist()
-            cuckoo = ScalableCuckoo.load(stored[0]) if stored else ScalableCuckoo()
-            cuckoo.change(_binary(left.column("digest")), np.asarray(left.column("by"), dtype=np.int64))
-            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.dump()], pa.binary())})
-
-        left = change.where("by <> 0").select(shard_of(shards=self.shards).alias("shard"), "digest", "by")
-        self.filters = self.scratch.cut(left.groupBy("shard").cogroup(self._stored().groupBy("shard")).applyInArrow(work, "shard int, filter binary"))
-        self.filter_bytes = self.filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
-
-    def drops(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(id, digests): the keys whose lines go from each document of docs."""
-        plain = self.plain(docs, id_col, text_col)
-        if self.filter_bytes <= BROADCAST_BYTES:
-            stored: dict[int, bytes] = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}  # size checked above
-            held = self._maybe(plain, self.spark.sparkContext.broadcast(stored))
-        else:
-            held = keyed_lines(plain)
+            stored, by = right.column("filter").to_pylist(), np.asarray(left.column("by"), dtype=np.int64)
+            cuckoo = CuckooFilter.load(stored[0]) if stored else CuckooFilter.for_copies(2 * int(np.maximum(by, 0).sum()))
+            cuckoo.change(_binary(left.column("digest")), by)
+            held = {"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([cuckoo.dump()], pa.binary())}
+            return pa.table({**held, "room": pa.array([cuckoo.cells.size], pa.int64()), "used": pa.array([cuckoo.used()], pa.int64())})
+
+        left = change.select(shard_of(self.shards).alias("shard"), "digest", "by")
+        self.filters = self.scratch.cut(left.groupBy("shard").cogroup(self._stored().groupBy("shard")).applyInArrow(work, "shard int, filter binary, room long, used long"))
+        self.room, self.used = (x or 0 for x in self.filters.agg(F.sum("room"), F.sum("used")).first())
+
+    def drops(self, lines: DataFrame) -> DataFrame:
+        """(id, digests): the keys whose lines go from each document, given (digest, id) of all keyed lines."""
+        maybe = self._lookup(lines.select("digest").distinct()).where("copies > 1")
         # written first, so that the join deals both sides anew and a hot key's rows can be split
-        first = self.scratch.cut(self.counts().where("n_docs > 1").select("digest", "first_id"))
-        return held.join(first, "digest").where("id > first_id").groupBy("id").agg(F.collect_set("digest").alias("digests"))
-
-    def _maybe(self, plain: DataFrame, stored: Broadcast) -> DataFrame:
-        """keyed_lines without those that the filters prove to be unrepeated."""
-        shards = self.shards
+        first = self.scratch.cut(self.counts(maybe).where("n_docs > 1").select("digest", "first_id"))
+        return lines.join(first, "digest").where("id > first_id").groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: ScalableCuckoo.load(v) for k, v in stored.value.items()}
-            for batch in batches:
-                raw = _binary(batch.column("digest")).reshape(-1, 16)
-                shard = raw[:, :4].copy().view(">u4").ravel().astype(np.int64) % shards
-                keep = np.zeros(len(raw), bool)
-                order = np.argsort(shard, kind="stable")
-                edge = np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in np.unique(shard).tolist():
-                    rows = order[edge[s] : edge[s + 1]]
-                    if s in filters:
-                        keep[rows] = filters[s].copies(raw[rows]) > 1
-                yield batch.filter(pa.array(keep))
-
-        return keyed_lines(plain).mapInArrow(work, "digest binary, id long")
-
-    def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def resolve(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: DataFrame | None = None) -> DataFrame:
         """All columns of docs with the text that stays, and n_lines, n_dropped, kept_sha256.
 
-        Columns of docs with these three names are replaced.
+        Columns of docs with these three names are replaced.  lines are the
+        pairs (digest, id) of docs, if they are at hand.
         """
         extra = ["n_lines", "n_dropped", "kept_sha256"]
-        drops = self.drops(docs, id_col, text_col)
+        drops = self.drops(self.scratch.cut(keyed_lines(self.plain(docs, id_col, text_col))) if lines is None else lines)
         rest = [c for c in docs.columns if c not in (*extra, text_col)]
         packed = docs.select(
             F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).alias("text")
@@ -338,7 +337,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """LineIndex.resolve of docs against an index of docs alone."""
     index = LineIndex(docs.sparkSession)
     index.insert(docs, id_col, text_col)
-    return index.resolve(docs, id_col, text_col)
+    return index.resolve(docs, id_col, text_col, index.live())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,12 @@ def test_deep_shallow_sort():
 def test_line_dedup_and_reversal(spark, docs, rows):
     want = brute.lines(rows)
     assert got(line_dedup.line_dedup(docs), "n_lines", "n_dropped", "kept_sha256") == want
-    index = line_dedup.LineIndex(spark, shards=4)
+    index = line_dedup.LineIndex(spark, keys=5)
+    index.insert(docs.where("doc_id < 4"))
+    shards = index.shards
     index.insert(docs.where("doc_id % 2 = 0"))
     index.insert(docs.where("doc_id % 2 = 1"))
+    assert index.shards > shards  # filled up and built anew
     assert got(index.resolve(docs), "n_lines", "n_dropped", "kept_sha256") == want
     gone = docs.where("doc_id % 3 = 0")
     index.delete(gone)
@@ -80,16 +83,34 @@ def test_line_dedup_and_reversal(spark, docs, rows):
 def test_cuckoo_filter_never_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
-    cuckoo = line_dedup.ScalableCuckoo()
+    cuckoo = line_dedup.CuckooFilter.for_copies(4000)
     cuckoo.change(keys[:2000].ravel(), np.ones(2000, np.int64))
     cuckoo.change(keys[2000:].ravel(), np.full(1000, 2))
-    cuckoo = line_dedup.ScalableCuckoo.load(cuckoo.dump())
+    cuckoo = line_dedup.CuckooFilter.load(cuckoo.dump())
+    assert cuckoo.used() == 4000
     assert (cuckoo.copies(keys[:2000].ravel()) >= 1).all() and (cuckoo.copies(keys[2000:].ravel()) >= 2).all()
     cuckoo.change(keys[:1000].ravel(), np.full(1000, -1))
     assert (cuckoo.copies(keys[1000:2000].ravel()) >= 1).all()
     assert (cuckoo.copies(keys[:1000].ravel()) > 0).mean() < 0.05
 
 
+def test_cuckoo_filter_beyond_its_room():
+    """More copies than slots, and many keys of one fingerprint and pair of buckets: the rest is stashed, and none is lost."""
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 256, (600, 16), dtype=np.uint8)
+    keys[:40, 6:] = keys[0, 6:]
+    cuckoo = line_dedup.CuckooFilter.for_copies(100)
+    cuckoo.change(keys.ravel(), np.full(600, 2))
+    cuckoo = line_dedup.CuckooFilter.load(cuckoo.dump())
+    assert cuckoo.used() == 1200 and len(cuckoo.stash) and (cuckoo.copies(keys.ravel()) >= 2).all()
+    cuckoo.change(keys[:39].ravel(), np.full(39, -2))
+    assert (cuckoo.copies(keys[39:].ravel()) >= 2).all()
+    cuckoo.change(keys[39:].ravel(), np.full(561, -2))
+    assert cuckoo.used() == 0
+    with pytest.raises(ValueError):
+        cuckoo.change(keys[:1].ravel(), np.array([-1]))
+
+
 def test_quality(docs, rows, labels):
     field = quality.train(docs, labels)
     frame = quality.quality(docs, field)
