@@ -1,29 +1,35 @@
 """Near-duplicate vectors over a robust-pruned flat graph.
 
-Equal vectors form a class and are searched once.  Centroids are fitted on a
-bounded sample (``SAMPLE`` vectors); every class joins the shards of its
-``probes`` nearest centroids, so shards overlap.  Within a shard candidates are
-robust-pruned (a neighbour is dropped if a kept one is closer to it by the
-factor ``ALPHA``), a few long edges are reserved, and reverse edges are added.
-A vector's adjacency lists from all its shards are united.  Each shard is then
-searched over the united lists: greedily from its medoids and from the query's
-own node, and from there outwards over everything within range.  What is found
-is verified by its cosine in double precision, and a pair in range that the
-search of its shard missed is added from the same cosines, so each pair of a
-shard counts for both of its ends.
+Equal vectors form a class and are searched once.  Shards come from splitting:
+a cell of more than ``FULL`` classes is split by centroids fitted on a bounded
+sample of it (``SAMPLE`` vectors of ``SAMPLE_BYTES`` at most), and every class
+of it joins the cells of its nearest ones, so shards overlap; cells that are
+still too large are split again, so the number of centroids grows with the data
+though no fit does.  A cell that a split leaves at over half its size is dense
+and stays.
+
+Within a shard candidates are robust-pruned (a neighbour is dropped if a kept
+one is closer to it by the factor ``ALPHA``), a few long edges are reserved, and
+reverse edges are added.  A vector's adjacency lists from all its shards are
+united.  The united lists are searched for every member of a shard: greedily
+from the shard's medoids and from the query's own node, and from there outwards
+over everything within range.  Only nodes that the search visits are compared;
+a visited node in range is a link, verified by its cosine in double precision,
+and counts for both of its ends, whichever of them found it.
 
 A shard is dealt in blocks of ``BLOCK`` classes, each pair of blocks to a task
-of its own, so no task grows with a dense group.  Links are counted at one
-shard that both ends share, never written out as pairs.
-
-A pair without a shared shard is lost, so probes are chosen for it: as many as
-let ``MIN_RECALL`` of planted pairs, sampled vectors and others at just the
-least cosine from them, share a shard.  Recall is then measured against brute
-force, for as many vectors of ``AUDIT`` as it takes to meet ``LINKED`` that
-have links (or for all, or for the most of ``AUDIT``).  It counts classes, not
-copies, and a vector with n links weighs 1/(n + 1), so a large group weighs as
-much as an isolated pair; below ``MIN_RECALL`` the search is repeated with more
-probes.  Where no vector asked has a link, recall is null: not measured.
+of its own, so no task grows with a dense group.  Links are counted at the
+first shard that both ends share, never written out as pairs.
+
+A pair without a shared shard is lost, so probes are chosen for it in each
+split: as many as let ``MIN_RECALL`` of planted pairs, sampled vectors and
+others at just the least cosine from them, share a cell.  Recall is then
+measured against brute force, for as many vectors of ``AUDIT`` as it takes to
+meet ``LINKED`` that have links (or for all, or for the most of ``AUDIT``).  It
+counts classes, not copies, and a vector with n links weighs 1/(n + 1), so a
+large group weighs as much as an isolated pair; below ``MIN_RECALL`` the search
+is repeated with more probes.  Where no vector asked has a link, recall is
+null: not measured.
 
 Vectors that are null, empty, zero or hold null or non-finite components link
 with nothing.  Vectors of different length never link.  A null id ranks after
@@ -34,19 +40,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewright.llm import _text
 from lanewright.llm._graph import components, local_roots
 from lanewright.llm._state import Scratch, read_table
 
 COSINE = 0.95
-#: Vectors that centroids are fitted on, at most; shard size aimed at; block size.
-SAMPLE, SHARD, BLOCK, MOST_CENTROIDS = 20_000, 600, 1024, 8_192
-DEGREE, LONG_EDGES, CANDIDATES, ALPHA, BEAM, ENTRIES = 24, 4, 48, 1.2, 16, 4
+#: Vectors, and bytes of them, that one split is fitted on, at most; centroids of a split; bytes that one task assigns.
+SAMPLE, SAMPLE_BYTES, MOST_CENTROIDS, CHUNK_BYTES = 20_000, 32 << 20, 1_024, 16 << 20
+#: Classes of a shard: aimed at, too many, in a block.
+SHARD, FULL, BLOCK = 1_500, 6_000, 2_048
+DEGREE, LONG_EDGES, CANDIDATES, ALPHA, BEAM, ENTRIES = 24, 4, 48, 1.2, 4, 4
 #: Vectors that are asked in the audit, few first; bytes of them; those with links that are enough; planted pairs.
 AUDIT, AUDIT_BYTES, LINKED, PLANTED, MIN_RECALL = (2_048, 16_384), 64 << 20, 200, 4_096, 0.99
 _LAST = (1 << 63) - 1
@@ -98,74 +108,145 @@ def probes_for(centroids: np.ndarray, sample: np.ndarray, cosine: float) -> int:
     return int(need[int(np.ceil(MIN_RECALL * len(need))) - 1])
 
 
-def robust_prune(near: np.ndarray, gram: np.ndarray, degree: int) -> list[np.ndarray]:
-    """For each row of candidate lists (nearest first) those that no kept one hides."""
-    out = []
-    for p, cand in enumerate(near):
-        cand = cand[cand != p]
-        away, alive, kept = 1 - gram[p, cand], np.ones(len(cand), bool), []
-        between = 1 - gram[np.ix_(cand, cand)]
-        for i in range(len(cand)):
-            if alive[i]:
-                kept.append(cand[i])
-                if len(kept) == degree:
-                    break
-                alive &= ALPHA * between[i] > away
-        out.append(np.array(kept, np.int64))
+def nearest(units: np.ndarray, count: int) -> np.ndarray:
+    """The nearest other rows of each row, nearest first."""
+    out = np.empty((len(units), count), np.int64)
+    step = max(1, 2_000_000 // len(units))
+    for i in range(0, len(units), step):
+        score = units[i : i + step] @ units.T
+        score[np.arange(len(score)), np.arange(i, i + len(score))] = -2
+        near = np.argpartition(-score, count - 1, axis=1)[:, :count]
+        out[i : i + step] = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
     return out
 
 
-def build(gram: np.ndarray, seed: int) -> list[np.ndarray]:
-    """The pruned adjacency of one shard's vectors, given their cosines."""
-    m = len(gram)
+def robust_prune(near: np.ndarray, units: np.ndarray, degree: int) -> np.ndarray:
+    """Which of each row's candidates (nearest first) stay: those that no kept one hides."""
+    kept = np.zeros(near.shape, bool)
+    step = max(1, 2_000_000 // (near.shape[1] * max(units.shape[1], near.shape[1])))
+    for i in range(0, len(near), step):
+        these = units[near[i : i + step]]
+        between = 1 - these @ these.transpose(0, 2, 1)
+        away = 1 - np.einsum("rcd,rd->rc", these, units[i : i + step])
+        alive, count = np.ones(away.shape, bool), np.zeros(len(away), np.int64)
+        for c in range(near.shape[1]):
+            take = alive[:, c] & (count < degree)
+            kept[i : i + step, c] = take
+            count += take
+            alive &= ~take[:, None] | (ALPHA * between[:, c] > away)
+    return kept
+
+
+def build(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(neighbours, offsets): the pruned adjacency of one shard's vectors."""
+    m = len(units)
     most = min(CANDIDATES, m - 1)
     if most <= 0:
-        return [np.zeros(0, np.int64)] * m
-    masked = gram.copy()
-    np.fill_diagonal(masked, -2)
-    near = np.argpartition(-masked, most - 1, axis=1)[:, :most]
-    near = np.take_along_axis(near, np.argsort(-np.take_along_axis(masked, near, 1), axis=1, kind="stable"), 1)
-    lists = robust_prune(near, gram, DEGREE - LONG_EDGES)
-    far = np.random.default_rng(seed).integers(0, m, (m, LONG_EDGES))
-    source = np.concatenate([np.repeat(np.arange(m), [len(x) for x in lists]), np.repeat(np.arange(m), LONG_EDGES)])
-    target = np.concatenate([*lists, far.ravel()])
-    edges = np.unique(np.stack([np.concatenate([source, target]), np.concatenate([target, source])], axis=1), axis=0)
-    edges = edges[edges[:, 0] != edges[:, 1]]
-    return np.split(edges[:, 1], np.searchsorted(edges[:, 0], np.arange(1, m)))
-
-
-def range_search(query: int, gram: np.ndarray, lists: list[np.ndarray], entries: np.ndarray, least: float) -> np.ndarray:
-    """Nodes found at or over a cosine: greedy to the neighbourhood, then outwards."""
-    score = gram[query]
-    seen = np.zeros(len(gram), bool)
-    beam = np.unique(np.append(entries, query))
-    seen[beam] = True
-    open_ = np.ones(len(beam), bool)
-    while open_.any():  # greedy: expand the best open nodes of the beam until none is open
-        pick = np.flatnonzero(open_)
-        pick = pick[np.argsort(-score[beam[pick]])[:4]]
-        open_[pick] = False
-        new = np.unique(np.concatenate([lists[i] for i in beam[pick]]))
-        new = new[~seen[new]]
-        seen[new] = True
-        beam, open_ = np.concatenate([beam, new]), np.concatenate([open_, np.ones(len(new), bool)])
-        if len(beam) > BEAM:
-            best = np.argsort(-score[beam], kind="stable")[:BEAM]
-            beam, open_ = beam[best], open_[best]
-    front = beam[score[beam] >= least]
-    found = np.zeros(len(gram), bool)
-    found[front] = True
-    while len(front):  # range expansion: everything in range next to something in range
-        new = np.unique(np.concatenate([lists[i] for i in front]))
-        front = new[(score[new] >= least) & ~found[new]]
-        found[front] = True
-    found[query] = False
-    return np.flatnonzero(found)
-
-
-def _packed(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten()).reshape(len(column), -1)
+        return np.zeros(0, np.int64), np.zeros(m + 1, np.int64)
+    near = nearest(units, most)
+    source, column = np.nonzero(robust_prune(near, units, DEGREE - LONG_EDGES))
+    target = near[source, column]
+    far = np.random.default_rng(seed).integers(0, m, (m, LONG_EDGES)).ravel()
+    source, target = np.concatenate([source, np.repeat(np.arange(m), LONG_EDGES)]), np.concatenate([target, far])
+    edges = np.unique(np.concatenate([source * m + target, target * m + source]))
+    source, target = edges // m, edges % m
+    source, target = source[source != target], target[source != target]
+    return target, np.searchsorted(source, np.arange(m + 1))
+
+
+def medoids(units: np.ndarray) -> np.ndarray:
+    """The node nearest to the middle, then the nodes that the chosen ones cover least."""
+    chosen = [int((units @ units.sum(axis=0)).argmax())]
+    cover = units @ units[chosen[0]]
+    while len(chosen) < min(ENTRIES, len(units)):
+        chosen.append(int(cover.argmin()))
+        cover = np.maximum(cover, units @ units[chosen[-1]])
+    return np.unique(chosen)
+
+
+class RangeSearch:
+    """Finds, over a graph, for all of its nodes at once the others at or over a cosine.
+
+    Only cosines of visited nodes are worked out; visited and found are bits of
+    one pair of nodes each.
+    """
+
+    def __init__(self, units: np.ndarray, near: np.ndarray, off: np.ndarray, least: float):
+        self.units, self.near, self.off, self.least = units, near, off, least
+        self.visited, self.found = np.zeros((len(units), len(units)), bool), np.zeros((len(units), len(units)), bool)
+
+    def run(self) -> np.ndarray:
+        self.greedy(medoids(self.units))
+        self.outwards()
+        return self.found | self.found.T
+
+    def visit(self, query: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """The cosines of nodes that are visited now; those in range are found."""
+        self.visited[query, node] = True
+        score = np.empty(len(query))
+        step = max(1, 2_000_000 // self.units.shape[1])
+        for i in range(0, len(query), step):
+            score[i : i + step] = np.einsum("ij,ij->i", self.units[query[i : i + step]], self.units[node[i : i + step]])
+        hit = (score >= self.least) & (query != node)
+        self.found[query[hit], node[hit]] = True
+        return score
+
+    def neighbours(self, query: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, neighbour) of these nodes, without those that the query visited before."""
+        size = self.off[node + 1] - self.off[node]
+        query, beside = np.repeat(query, size), self.near[_text.take_spans(self.off[node], size)]
+        new = ~self.visited[query, beside]
+        return query[new], beside[new]
+
+    def greedy(self, entries: np.ndarray) -> None:
+        """Every query expands the best open node of its beam until none is open."""
+        m = len(self.units)
+        beam = np.concatenate([np.tile(entries, (m, 1)), np.arange(m)[:, None], np.zeros((m, BEAM), np.int64)], axis=1)
+        score = np.full(beam.shape, -np.inf)
+        for c in range(len(entries) + 1):
+            new = ~self.visited[np.arange(m), beam[:, c]]
+            score[new, c] = self.visit(np.flatnonzero(new), beam[new, c])
+        beam, score, open_ = self.best(beam, score, score > -np.inf)
+        while open_.any():
+            query = np.flatnonzero(open_.any(axis=1))
+            at = np.where(open_[query], score[query], -np.inf).argmax(axis=1)
+            open_[query, at] = False
+            owner, node = self.neighbours(query, beam[query, at])
+            if not len(owner):
+                continue
+            # the new nodes of each query beside its beam
+            count = np.bincount(owner, minlength=m)
+            column = BEAM + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)[: len(owner)]
+            some = np.flatnonzero(count)
+            row = np.searchsorted(some, owner)
+            width = BEAM + int(count.max())
+            wide = [np.zeros((len(some), width), np.int64), np.full((len(some), width), -np.inf), np.zeros((len(some), width), bool)]
+            for old, all_ in zip((beam, score, open_), wide, strict=True):
+                all_[:, :BEAM] = old[some]
+            wide[0][row, column], wide[1][row, column], wide[2][row, column] = node, self.visit(owner, node), True
+            beam[some], score[some], open_[some] = self.best(*wide)
+
+    @staticmethod
+    def best(beam: np.ndarray, score: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.argsort(-score, axis=1, kind="stable")[:, :BEAM]
+        return tuple(np.take_along_axis(x, at, axis=1) for x in (beam, score, open_))
+
+    def outwards(self) -> None:
+        """Range expansion: everything beside something in range is visited."""
+        done = np.eye(len(self.units), dtype=bool)
+        step = max(1, 500_000 // max(1, int(np.diff(self.off).max(initial=1))))
+        while True:
+            waiting = self.found & ~done
+            waiting[self.visited.all(axis=1)] = False
+            rank = np.cumsum(waiting, axis=1, dtype=np.int32)
+            query, node = np.nonzero(waiting & (rank <= 8))  # a few at a time: dense groups are soon seen whole
+            if not len(query):
+                return
+            done[query, node] = True
+            for i in range(0, len(query), step):
+                owner, beside = self.neighbours(query[i : i + step], node[i : i + step])
+                pair = np.unique(owner * len(self.units) + beside)
+                self.visit(pair // len(self.units), pair % len(self.units))
 
 
 def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", probes: int = 3) -> DataFrame:
@@ -192,22 +273,15 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
         classes.select("key", F.xxhash64("key").alias("cls"), F.col("x.id").alias("first_id"), F.col("x.unit").alias("unit"), "mult", (F.octet_length("x.unit") / 8).cast("int").alias("dims"))
     )
     sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
-    centroids: dict[int, np.ndarray] = {}
-    for dims, n in sizes.items():
-        picked = classes.where(F.col("dims") == dims).orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("unit").collect()  # bounded
-        sample = np.array([np.frombuffer(r["unit"]) for r in picked])
-        k = min(MOST_CENTROIDS, max(1, round(n / SHARD)), len(sample))
-        centroids[dims] = fit_centroids(sample, k)
-        probes = max(probes, probes_for(centroids[dims], sample, cosine))
     truth = _truth(classes, sizes, cosine)
-    held = spark.sparkContext.broadcast(centroids)  # at most MOST_CENTROIDS for each dimension count
     while True:
-        found = _links(classes, held, sizes, probes, cosine, scratch)
+        cells = _cells(classes, probes, cosine, scratch)
+        found = _links(classes, cells, cosine, scratch)
         recall = _audit(truth, found)
-        if recall is None or recall >= MIN_RECALL or probes >= max((len(c) for c in centroids.values()), default=1):
+        if recall is None or recall >= MIN_RECALL or probes >= MOST_CENTROIDS:
             break
         scratch.drop(found)
-        probes *= 2
+        probes = 4 * probes
     joined = components(found.where("least <> cls").select(F.col("cls").alias("a"), F.col("least").alias("b")), scratch)
     reach = scratch.cut(joined.join(classes.select(F.col("cls").alias("node"), "first_id"), "node").groupBy("root").agg(F.min("first_id").alias("component_id")))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
@@ -230,30 +304,55 @@ def vector_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     )
 
 
-def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine: float, scratch: Scratch) -> DataFrame:
-    """(cls, links, n, least) partial sums: links found, classes linked, and a smaller class that is reached."""
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([np.frombuffer(x) for x in column.to_pylist()])
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells: list[list[int]] = [[]] * batch.num_rows
-            dims = np.asarray(batch.column("dims"))
-            units = batch.column("unit").to_pylist()
-            for d in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == d)
-                cent = held.value[d]
-                most = min(probes, len(cent))
-                for i in range(0, len(mine), 1024):
-                    part = mine[i : i + 1024]
-                    score = np.array([np.frombuffer(units[x]) for x in part]) @ cent.T
-                    best = np.argpartition(-score, most - 1, axis=1)[:, :most]
-                    for x, row in zip(part.tolist(), np.sort(best, axis=1).tolist(), strict=True):
-                        cells[x] = [d * MOST_CENTROIDS + c for c in row]
-            keep = [batch.column(c) for c in ("cls", "unit", "mult")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(cells, pa.list_(pa.int64()))], names=["cls", "unit", "mult", "cells"])
-
-    member = scratch.cut(classes.select("cls", "unit", "mult", "dims").mapInArrow(assign, "cls long, unit binary, mult long, cells array<long>"))
-    in_cell = member.select("*", F.explode("cells").alias("cell"))
-    blocks = scratch.cut(in_cell.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+
+def _cells(classes: DataFrame, probes: int, cosine: float, scratch: Scratch) -> DataFrame:
+    """(cls, cells): the shards of each class."""
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        cell, n, chunks = (k.as_py() for k in key)
+        sample = _units(table.sort_by("cls").column("unit"))
+        centroids = fit_centroids(sample, max(1, min(MOST_CENTROIDS, -(-n // SHARD), len(sample))))
+        most = min(len(centroids), max(probes, probes_for(centroids, sample, cosine)))
+        return pa.table({"cell": [cell], "n": [n], "chunks": [chunks], "most": [most], "centroids": [centroids.tobytes()]})
+
+    def assign(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["cls", "unit", "dims"]
+        if not right.num_rows:  # no sample: the cell stays
+            return left.select([*names, "cell"]).append_column("above", left.column("n"))
+        units, most = _units(left.column("unit")), right.column("most")[0].as_py()
+        centroids = np.frombuffer(right.column("centroids")[0].as_py()).reshape(-1, units.shape[1])
+        step = max(1, 4_000_000 // len(centroids))
+        best = np.concatenate([np.argpartition(-(units[i : i + step] @ centroids.T), most - 1, axis=1)[:, :most] for i in range(0, len(units), step)])
+        cell = _text.mix(_text.mix(best.ravel().astype(np.uint64) + np.uint64(1)) ^ np.uint64(key[0].as_py() & (1 << 64) - 1)).view(np.int64)
+        rows = left.select(names).take(pa.array(np.repeat(np.arange(len(units)), most)))
+        return rows.append_column("cell", pa.array(cell)).append_column("above", left.column("n").take(pa.array(np.repeat(np.arange(len(units)), most))))
+
+    here = classes.select("cls", "unit", "dims", F.xxhash64("dims").alias("cell"), F.lit(None).cast("long").alias("above"))
+    shards: list[DataFrame] = []
+    chunks = F.expr(f"ceil(n * dims * 8 / {CHUNK_BYTES})")
+    while True:
+        sizes = here.groupBy("cell").agg(F.count("*").alias("n"), F.first("above").alias("above"), F.first("dims").alias("dims"))
+        over = scratch.cut(sizes.where(f"n > {FULL} AND (above IS NULL OR 2 * n <= above)").select("cell", "n", chunks.alias("chunks")))
+        if over.isEmpty():
+            break
+        shards.append(here.join(over, "cell", "left_anti").select("cls", "cell"))
+        full = here.join(over, "cell").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)"))
+        picked = full.where(f"pmod(xxhash64(cls, 'fit'), n) < least({SAMPLE}, {SAMPLE_BYTES} / (8 * dims))")
+        fitted = picked.select("cell", "n", "chunks", "cls", "unit").groupBy("cell", "n", "chunks").applyInArrow(fit, "cell long, n long, chunks long, most long, centroids binary")
+        fitted = scratch.cut(fitted).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+        both = full.select("cell", "chunk", "cls", "unit", "dims", "n").groupBy("cell", "chunk").cogroup(fitted.select("cell", "chunk", "most", "centroids").groupBy("cell", "chunk"))
+        here = scratch.cut(both.applyInArrow(assign, "cls long, unit binary, dims int, cell long, above long"))
+    shards.append(here.select("cls", "cell"))
+    return scratch.cut(reduce(DataFrame.union, shards).groupBy("cls").agg(F.collect_list("cell").alias("cells")))
+
+
+def _links(classes: DataFrame, cells: DataFrame, cosine: float, scratch: Scratch) -> DataFrame:
+    """(cls, links, n, least) partial sums: links found, classes linked, and a smaller class that is reached."""
+    in_cell = classes.select("cls", "unit", "mult").join(cells, "cls").withColumn("cell", F.explode("cells"))
+    blocks = scratch.cut(cells.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     dealt = (
         in_cell.join(blocks, "cell")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -262,43 +361,34 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
     )
 
     def build_lists(key: tuple, table: pa.Table) -> pa.Table:
-        units = np.array([np.frombuffer(x) for x in table.column("unit").to_pylist()])
+        table = table.sort_by("cls")
         cls = np.asarray(table.column("cls"))
-        order = np.argsort(cls)
-        lists = build((units @ units.T)[np.ix_(order, order)], abs(hash(tuple(k.as_py() for k in key))) % (1 << 31))
-        cls = cls[order]
-        return pa.table({"cls": pa.array(cls, pa.int64()), "near": pa.array([cls[x] for x in lists], pa.list_(pa.int64()))})
+        near, off = build(_units(table.column("unit")), sum(k.as_py() for k in key) % (1 << 31))
+        return pa.table({"cls": pa.array(cls, pa.int64()), "near": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(cls[near], pa.int64()))})
 
-    lists = dealt.groupBy("cell", "i", "j").applyInArrow(build_lists, "cls long, near array<long>")
+    lists = dealt.select("cell", "i", "j", "cls", "unit").groupBy("cell", "i", "j").applyInArrow(build_lists, "cls long, near array<long>")
     united = scratch.cut(lists.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         cell, i, j = (k.as_py() for k in key)
-        units = np.array([np.frombuffer(x) for x in table.column("unit").to_pylist()])
+        table = table.sort_by("cls").combine_chunks()
         cls, mult, block = (np.asarray(table.column(c)) for c in ("cls", "mult", "block"))
-        cells = _packed(table.column("cells"))
-        order = np.argsort(cls)
-        cls, mult, block, cells, units = cls[order], mult[order], block[order], cells[order], units[order]
-        gram = units @ units.T
-        near = [table.column("near")[int(x)].values for x in order]
-        lists = []
-        for x in near:
-            ids = np.asarray(x)
-            at = np.minimum(np.searchsorted(cls, ids), len(cls) - 1)
-            lists.append(at[cls[at] == ids])
-        entries = medoids(gram)
-        pairs = np.zeros(gram.shape, bool)
-        for q in range(len(cls)):
-            found = np.union1d(range_search(q, gram, lists, entries, cosine), np.flatnonzero(gram[q] >= cosine))
-            found = found[found != q]
-            if i != j:
-                found = found[block[found] != block[q]]
-            if len(found):  # only at the first shard that both share
-                both = (cells[found][:, :, None] == cells[q][None, None, :]).any(axis=2)
-                found = found[np.where(both, cells[found], np.iinfo(np.int64).max).min(axis=1) == cell]
-            if len(found):
-                pairs[q, found] = True
-        pairs |= pairs.T
+        near = table.column("near").combine_chunks()
+        ids, size = np.asarray(near.flatten()), np.asarray(near.value_lengths(), dtype=np.int64)
+        at = np.minimum(np.searchsorted(cls, ids), len(cls) - 1)
+        here = cls[at] == ids
+        off = np.concatenate([[0], np.cumsum(here)])[np.concatenate([[0], np.cumsum(size)])]
+        pairs = RangeSearch(_units(table.column("unit")), at[here], off, cosine).run()
+        if i != j:
+            pairs &= block[:, None] != block[None, :]
+        # pairs that share an earlier shard count there
+        shared = table.column("cells").combine_chunks()
+        owner = np.repeat(np.arange(len(cls)), np.asarray(shared.value_lengths(), dtype=np.int64))
+        value = np.asarray(shared.flatten())
+        owner, value = owner[value < cell], value[value < cell]
+        owner = owner[np.argsort(value, kind="stable")]
+        for same in np.split(owner, np.cumsum(np.unique(value, return_counts=True)[1])[:-1]):
+            pairs[np.ix_(same, same)] = False
         links, n = pairs @ mult, pairs.sum(axis=1)
         some, least = pairs.any(axis=1), cls[local_roots(pairs)]
         return pa.table({"cls": cls[some], "links": links[some], "n": n[some], "least": least[some]}, schema=pa.schema([(c, pa.int64()) for c in ("cls", "links", "n", "least")]))
@@ -306,16 +396,6 @@ def _links(classes: DataFrame, held, sizes: dict[int, int], probes: int, cosine:
     return scratch.cut(dealt.join(united, "cls").groupBy("cell", "i", "j").applyInArrow(search, "cls long, links long, n long, least long"))
 
 
-def medoids(gram: np.ndarray) -> np.ndarray:
-    """The shard's medoid, then the nodes that the chosen ones cover least."""
-    chosen = [int(gram.sum(axis=1).argmax())]
-    cover = gram[chosen[0]].copy()
-    while len(chosen) < min(ENTRIES, len(gram)):
-        chosen.append(int(cover.argmin()))
-        cover = np.maximum(cover, gram[chosen[-1]])
-    return np.array(chosen)
-
-
 def _truth(classes: DataFrame, sizes: dict[int, int], cosine: float) -> DataFrame | None:
     """(cls, truth): the number of linked classes, by brute force, of the audit's vectors that have any; None without such."""
     spark, rows = classes.sparkSession, []

@@ -222,7 +222,8 @@ def vectors(n=300, dims=16):
 @pytest.mark.parametrize("block", [1024, 40])
 def test_vector_dedup(spark, monkeypatch, block):
     monkeypatch.setattr(vector_dedup, "BLOCK", block)
-    monkeypatch.setattr(vector_dedup, "SHARD", 60)
+    monkeypatch.setattr(vector_dedup, "SHARD", 30)
+    monkeypatch.setattr(vector_dedup, "FULL", 100)
     base = vectors()
     frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(base)], "vec_id long, embedding array<float>, label int")
     odd = spark.createDataFrame([(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, [], 0), (None, [1.0] * 3, 1)], frame.schema)
@@ -237,6 +238,8 @@ def test_vector_dedup(spark, monkeypatch, block):
 
 def test_vector_recall_of_isolated_pairs(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "SHARD", 40)
+    monkeypatch.setattr(vector_dedup, "FULL", 120)
+    monkeypatch.setattr(vector_dedup, "MOST_CENTROIDS", 12)  # so that cells are split twice
     rng = np.random.default_rng(4)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     one, off = unit(rng.normal(size=(1200, 24))), rng.normal(size=(400, 24))
@@ -253,17 +256,52 @@ def test_vector_recall_of_isolated_pairs(spark, monkeypatch):
 
 
 def test_vector_links_count_for_both_ends(spark, monkeypatch):
-    search = vector_dedup.range_search  # finds a pair from its larger end only, or in no shard at all
-    one_way = lambda q, *rest: (lambda found: found[found < q])(search(q, *rest))
+    visit = vector_dedup.RangeSearch.visit
+
+    def one_way(self, query, node):  # finds a pair from its larger end only
+        score = visit(self, query, node)
+        self.found &= np.tri(len(self.found), dtype=bool)
+        return score
+
     base = vectors()[:40]
     base[10:30] = base[7] + np.random.default_rng(6).normal(size=(20, 16)) * 0.1
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
     unit = base.astype(float) / np.linalg.norm(base.astype(float), axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
-    for worse in (one_way, lambda *rest: np.zeros(0, np.int64)):
-        monkeypatch.setattr(vector_dedup, "range_search", worse)
-        assert got(vector_dedup.vector_dedup(frame), "n_links", key="vec_id") == {i: (int(n),) for i, n in enumerate(near.sum(1))}
+    monkeypatch.setattr(vector_dedup.RangeSearch, "visit", one_way)
+    assert got(vector_dedup.vector_dedup(frame), "n_links", key="vec_id") == {i: (int(n),) for i, n in enumerate(near.sum(1))}
+
+
+def test_range_search_visits_few_and_finds_links():
+    rng = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(60, 32)))
+    units = unit(np.repeat(base, 50, axis=0) + rng.normal(size=(3000, 32)) * 0.06)
+    near, off = vector_dedup.build(units, 1)
+    search = vector_dedup.RangeSearch(units, near, off, 0.95)
+    found = search.run()
+    want = units @ units.T >= 0.95
+    np.fill_diagonal(want, False)
+    assert not (found & ~want).any() and (found == found.T).all()
+    assert (found & want).sum() >= 0.99 * want.sum() > 0
+    assert search.visited.mean() < 0.2
+
+
+def test_robust_prune_by_definition():
+    rng = np.random.default_rng(10)
+    units = rng.normal(size=(80, 6))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = vector_dedup.nearest(units, 20)
+    kept = vector_dedup.robust_prune(near, units, 5)
+    for p in range(80):
+        away = lambda a, b: 1 - units[a] @ units[b]
+        assert near[p].tolist() == sorted((x for x in range(80) if x != p), key=lambda x: away(p, x))[:20]
+        mine = []
+        for x in near[p]:
+            if len(mine) < 5 and all(vector_dedup.ALPHA * away(y, x) > away(p, x) for y in mine):
+                mine.append(x)
+        assert near[p][kept[p]].tolist() == mine
 
 
 def test_unit_dedup(docs, rows):
