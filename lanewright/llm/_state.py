@@ -2,28 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    On a cluster ``spark.checkpoint.dir`` names it.  A session without that
-    setting (tests, one machine) gets a folder of its own, once.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            kept = tempfile.mkdtemp(prefix="lanewright-")
-            spark.sparkContext.setCheckpointDir(kept)
-        at = kept
-    return at.rstrip("/")
+from lanewright.session import shared_dir, ship
 
 
 class Scratch:
