@@ -1,8 +1,11 @@
-"""Named queries over the driver's tables, each with its SQL twin."""
+"""Named queries over the driver's tables, each with its SQL twin.
+
+Steps, planning, lineage and storage are shown by pipelines that run in a fresh
+home; what a query returns is read from that home's ledger.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,13 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright import Home, Pipeline, sources, step, streaming
+from lanewright import Home, Pipeline, lineage, selection, sources, step, storage, streaming
 from lanewright.diff import classify
 from lanewright.functions import scalars
 from lanewright.functions.identity import canonical, sha
 from lanewright.operators import expand, graph, groups, joins, sampling
 from lanewright.plans.bodies import attempt, stored
-from lanewright.session import ship
+from lanewright.session import shared_dir, ship
+from lanewright.spec import Filtered, Step
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,14 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
            count(*) AS n_orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents
     FROM orders GROUP BY 1""")
 def map_classify_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    tier = F.when(price >= 250000, "large").when(price >= 100000, "medium").otherwise("small")
-    return (
-        table(spark, sf_dir, "orders")
-        .select(tier.alias("tier"), F.round(price * 100).cast("long").alias("cents"))
-        .groupBy("tier")
-        .agg(F.count("*").alias("n_orders"), F.sum("cents").alias("cents"))
-    )
+    """A pipeline of three steps: rows, their tier, a rollup by tier."""
+
+    def tier(orders: Column) -> Column:
+        name = F.when(orders.cents >= 25_000_000, "large").when(orders.cents >= 10_000_000, "medium").otherwise("small")
+        return F.struct(name.alias("tier"), orders.cents.alias("cents"))
+
+    def total(tier: Column) -> Column:
+        return F.struct(F.count("*").alias("n_orders"), F.sum(tier.cents).alias("cents"))
+
+    steps = [order_rows(spark, sf_dir), step(tier, body="column", schema="tier string, cents long"), step(total, body="column", group_key="tier")]
+    return ran(spark, steps, "n_orders long, cents long").withColumnRenamed("lane", "tier")
 
 
 def cents(column: str) -> Column:
@@ -66,8 +73,41 @@ def lanes(frame: DataFrame, key: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below the one that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanewright-")
-    return f"{base.rstrip('/')}/lanes-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/lanes-{uuid.uuid4().hex}"
+
+
+# pipelines over the tables
+
+
+def ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
+
+
+def source(frame: DataFrame, name: str, row_key: str | None = None, force: bool = False) -> Step:
+    """A root whose lanes are a frame's rows."""
+    return step(lambda: frame, name=name, shape="expand", body="column", row_key=row_key, schema=ddl(frame), force=force)
+
+
+def fresh_home(spark: SparkSession) -> Home:
+    return Home(spark, scratch_dir(spark))
+
+
+def outputs(home: Home, pipeline: str, name: str, schema: str) -> DataFrame:
+    """The live outputs of a step as columns, with their lane."""
+    live = home.outputs(pipeline, name).where("live AND NOT filtered AND lane <> '@anchor'")
+    return live.select("lane", F.from_json("output", schema).alias("v")).select("lane", "v.*")
+
+
+def ran(spark: SparkSession, steps: list[Step], schema: str, params: dict | None = None) -> DataFrame:
+    """Runs steps in a fresh home; the outputs of the last one."""
+    home = fresh_home(spark)
+    Pipeline("catalogue", steps).run(home, params)
+    return outputs(home, "catalogue", steps[-1].name, schema)
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> Step:
+    kept = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long"), cents("o_totalprice").alias("cents"), "o_orderpriority")
+    return source(kept, "orders", "o_orderkey")
 
 
 # sources
@@ -106,8 +146,10 @@ def multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 10 AS threshold, 'eu' AS region")
 def map_root_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = {"threshold": 10, "region": "eu"}
-    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in params.items()])
+    def config(params: dict) -> dict:
+        return dict(params)
+
+    return ran(spark, [step(config)], "threshold int, region string", {"threshold": 10, "region": "eu"}).drop("lane")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS lane, upper(c_name) AS name, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS side FROM customer")
@@ -122,34 +164,75 @@ def map_diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) * (SELECT count(*) FROM orders) > (SELECT sum(CAST(round(o_totalprice * 100) AS BIGINT)) FROM orders) AS above
     FROM orders""")
 def map_broadcast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("cents"))
-    whole = orders.agg(F.count("*").alias("n"), F.sum("cents").alias("s"))
-    return orders.crossJoin(F.broadcast(whole)).select("o_orderkey", (F.col("cents") * F.col("n") > F.col("s")).alias("above"))
+    """Every row against a step of one lane."""
+
+    def whole(orders: Column) -> Column:
+        return F.struct(F.count("*").alias("n"), F.sum(orders.cents).alias("s"))
+
+    def above(orders: Column, whole: Column) -> Column:
+        return F.struct(orders.o_orderkey.alias("o_orderkey"), (orders.cents * whole.n > whole.s).alias("above"))
+
+    steps = [order_rows(spark, sf_dir), step(whole, shape="aggregate", body="column", schema="n long, s long"), step(above, body="column")]
+    return ran(spark, steps, "o_orderkey long, above boolean").drop("lane")
+
+
+def _cheap() -> Step:
+    def dear(orders: Column) -> tuple[Column, Column, str]:
+        return orders, orders.cents >= 5_000_000, "cheap"
+
+    return step(dear, body="column", schema="o_orderkey long, cents long, o_orderpriority string")
 
 
 @query("""
     SELECT o_orderkey, o_totalprice < 50000 AS filtered, CASE WHEN o_totalprice < 50000 THEN 'cheap' END AS reason FROM orders""")
 def filter_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.col("o_totalprice") < 50000
-    return table(spark, sf_dir, "orders").select("o_orderkey", low.alias("filtered"), F.when(low, "cheap").alias("reason"))
+    """Verdicts are cells, with their reason."""
+    home, rows = fresh_home(spark), order_rows(spark, sf_dir)
+    Pipeline("verdicts", [rows, _cheap()]).run(home)
+    verdicts = home.cells("verdicts", "dear").select("lane", (F.col("status") == "filtered").alias("filtered"), "reason")
+    return outputs(home, "verdicts", "orders", rows.schema).join(verdicts, "lane").select("o_orderkey", "filtered", "reason")
 
 
 @query("""
     SELECT o_orderpriority, count(*) AS n FROM orders WHERE NOT (o_totalprice < 50000) GROUP BY 1""")
 def filter_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = filter_verdict(spark, sf_dir).where("NOT filtered").select("o_orderkey")
-    return table(spark, sf_dir, "orders").join(kept, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """Filtered rows are absent from the groups above them."""
+
+    def total(dear: Column) -> Column:
+        return F.struct(F.count("*").alias("n"))
+
+    steps = [order_rows(spark, sf_dir), _cheap(), step(total, body="column", group_key="o_orderpriority")]
+    return ran(spark, steps, "n long").withColumnRenamed("lane", "o_orderpriority")
 
 
 @query("SELECT upper(replace(c_name, '#', '-')) || '!' AS name, c_custkey FROM customer")
 def fused_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    helper = table(spark, sf_dir, "customer").withColumn("name", F.replace("c_name", F.lit("#"), F.lit("-")))
-    return helper.withColumn("name", F.upper("name")).select(F.concat("name", F.lit("!")).alias("name"), "c_custkey")
+    """A helper that is never stored; its body joins its consumer's plan."""
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long"), "c_name")
+
+    def plain(customers: Column) -> Column:
+        return F.struct(customers.c_custkey.alias("c_custkey"), F.replace(customers["c_name"], F.lit("#"), F.lit("-")).alias("name"))
+
+    def loud(plain: Column) -> Column:
+        return F.struct(plain.c_custkey.alias("c_custkey"), F.concat(F.upper(plain["name"]), F.lit("!")).alias("name"))
+
+    steps = [source(people, "customers", "c_custkey"), step(plain, body="column", schema="c_custkey long, name string", use_cache=False), step(loud, body="column")]
+    return ran(spark, steps, "name string, c_custkey long").drop("lane")
 
 
 @query("SELECT p_partkey, p_name, length(p_name) AS name_length FROM part")
 def row_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.length("p_name").cast("long").alias("name_length"))
+    """A table value, and a step that adds a column to its rows."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+
+    def parts() -> DataFrame:
+        return rows
+
+    def name_length(parts: Column) -> Column:
+        return F.length(parts.p_name).cast("long")
+
+    found = ran(spark, [step(parts, as_table=True), step(name_length, as_table=True, body="rows")], "`$table` string").first()
+    return spark.read.parquet(found["$table"])
 
 
 @query("""
@@ -183,9 +266,11 @@ def expand_lane_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand.mint(table(spark, sf_dir, "nation").select(payload.alias("output"))).select("lane", "output.name")
 
 
-@query("SELECT DISTINCT sha256(text) AS hash FROM documents")
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
 def expand_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(sha(F.col("text")).alias("hash")).distinct()
+    """Equal payloads are one lane."""
+    texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text")
+    return ran(spark, [source(texts, "texts")], "text string").select(sha(F.col("text")).alias("hash"))
 
 
 @query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part")
@@ -201,20 +286,29 @@ def expand_row_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(DISTINCT sha256(text)) AS n_children, min(sha256(text)) AS first_child FROM conversations GROUP BY conv_id")
 def expand_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "conversations").select("conv_id", sha(F.col("text")).alias("h")).distinct()
-    return hashed.groupBy("conv_id").agg(F.count("h").alias("n_children"), F.min("h").alias("first_child"))
+    """The children of each parent, by the ledger's edges; equal children of two parents are one lane."""
+    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").cast("long")).agg(F.collect_list("text").alias("texts"))
+
+    def said(talks: Column) -> Column:
+        return F.transform(talks.texts, lambda t: F.struct(t.alias("text")))
+
+    home, talks = fresh_home(spark), source(turns, "talks", "conv_id")
+    Pipeline("talks", [talks, step(said, shape="expand", body="column")]).run(home)
+    live = home.outputs("talks").where("live AND lane <> '@anchor'").select("step", "address", "output")
+    parents = live.where("step = 'talks'").select(F.col("address").alias("parent"), F.get_json_object("output", "$.conv_id").cast("long").alias("conv_id"))
+    children = live.where("step = 'said'").select(F.col("address").alias("child"), sha(F.get_json_object("output", "$.text")).alias("h"))
+    return home.edges().join(parents, "parent").join(children, "child").groupBy("conv_id").agg(F.count("*").alias("n_children"), F.min("h").alias("first_child"))
 
 
 # unions
 
 
 @query("""
-    WITH a AS (SELECT doc_id, lang, 0 AS ord FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, upper(lang), 1 FROM documents WHERE doc_id % 2 = 0)
-    SELECT CAST(doc_id AS VARCHAR) AS lane, arg_min(lang, ord) AS lang FROM a GROUP BY doc_id""")
+    WITH a AS (SELECT s_suppkey AS k, s_name AS name, 0 AS ord FROM supplier UNION ALL SELECT p_partkey, upper(p_name), 1 FROM part)
+    SELECT CAST(k AS VARCHAR) AS lane, arg_min(name, ord) AS name FROM a GROUP BY k""")
 def union_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lanes(table(spark, sf_dir, "documents"), "doc_id")
-    one = docs.where("doc_id % 3 <> 0").select("lane", "lang")
-    two = docs.where("doc_id % 2 = 0").select("lane", F.upper("lang").alias("lang"))
+    one = lanes(table(spark, sf_dir, "supplier"), "s_suppkey").select("lane", F.col("s_name").alias("name"))
+    two = lanes(table(spark, sf_dir, "part"), "p_partkey").select("lane", F.upper("p_name").alias("name"))
     return groups.union_lanes([one, two])
 
 
@@ -249,22 +343,21 @@ def join_inner_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT coalesce(CAST(d.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(l.doc_id AS VARCHAR), '@missing') AS lane, d.lang, l.quality
-    FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN (SELECT * FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""")
+    SELECT coalesce(CAST(p_partkey AS VARCHAR), '@missing') || '|' || coalesce(CAST(n_nationkey AS VARCHAR), '@missing') AS lane, p_name, n_name
+    FROM part FULL JOIN nation ON p_size = n_nationkey""")
 def join_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = lanes(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "lang"), "doc_id")
-    marks = lanes(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
-    return joins.star_join([("d", docs, F.col("doc_id")), ("l", marks, F.col("doc_id"))], "union").select("lane", "d.lang", "l.quality")
+    """Parts and nations by a number that both have; either side has numbers of its own."""
+    parts = lanes(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
+    nations = lanes(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey")
+    return joins.star_join([("p", parts, F.col("p_size")), ("n", nations, F.col("n_nationkey"))], "union").select("lane", "p.p_name", "n.n_name")
 
 
 @query("""
-    SELECT coalesce(CAST(a.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(b.doc_id AS VARCHAR), '@missing') || '|' || coalesce(CAST(c.doc_id AS VARCHAR), '@missing') AS lane
-    FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM labels) b ON a.doc_id = b.doc_id
-    FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) c ON coalesce(a.doc_id, b.doc_id) = c.doc_id""")
+    SELECT coalesce(CAST(p_partkey AS VARCHAR), '@missing') || '|' || coalesce(CAST(n_nationkey AS VARCHAR), '@missing') || '|' || coalesce(CAST(r_regionkey AS VARCHAR), '@missing') AS lane
+    FROM part FULL JOIN nation ON p_size = n_nationkey FULL JOIN region ON coalesce(p_size, n_nationkey) = r_regionkey""")
 def join_outer_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, marks = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    parts = [("a", docs.where("doc_id % 2 = 0")), ("b", marks), ("c", docs.where("doc_id % 5 = 0"))]
-    return joins.star_join([(n, lanes(f, "doc_id"), F.col("doc_id")) for n, f in parts], "union").select("lane")
+    sides = [("part", "p_partkey", "p_size"), ("nation", "n_nationkey", "n_nationkey"), ("region", "r_regionkey", "r_regionkey")]
+    return joins.star_join([(t, lanes(table(spark, sf_dir, t), lane), F.col(key)) for t, lane, key in sides], "union").select("lane")
 
 
 @query("""
@@ -286,8 +379,20 @@ def join_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """An outer join whose matched pairs a filter takes out."""
+    docs, labels = (source(table(spark, sf_dir, t).select(F.col("doc_id").cast("long")), t, "doc_id") for t in ("documents", "labels"))
+
+    def unlabelled(documents: Column, labels: Column) -> tuple[Column, Column, str]:
+        return F.struct(documents.doc_id.alias("doc_id")), documents.doc_id.isNotNull() & labels.doc_id.isNull(), "labelled"
+
+    made = step(unlabelled, join_on={"documents": "doc_id", "labels": "doc_id"}, join_mode="union", body="column")
+    return ran(spark, [docs, labels, made], "doc_id long").drop("lane")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return joins.existence_join(docs, table(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
 
 @query("SELECT n_regionkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -297,10 +402,10 @@ def join_table_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT coalesce(c.c_custkey, s.s_suppkey) AS c_custkey, c_name, s_name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey""")
+    SELECT coalesce(p_size, n_nationkey) AS p_size, p_name, n_name FROM part FULL JOIN nation ON p_size = n_nationkey""")
 def join_table_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    return joins.table_join(people, table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "c_custkey", "s_suppkey", "union")
+    parts = table(spark, sf_dir, "part").select("p_size", "p_name")
+    return joins.table_join(parts, table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "p_size", "n_nationkey", "union")
 
 
 # aggregates and folds
@@ -343,7 +448,13 @@ def agg_two_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, count(DISTINCT p_brand) AS n_brands, max(p_size) AS max_size FROM part")
 def agg_table_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("n_brands"), F.max("p_size").alias("max_size"))
+    """An aggregate whose body gets its parent's lanes as a frame."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long"), "p_brand", F.col("p_size").cast("int"))
+
+    def stats(parts: DataFrame) -> DataFrame:
+        return parts.agg(F.count("*").alias("n"), F.countDistinct("p_brand").alias("n_brands"), F.max("p_size").alias("max_size"))
+
+    return ran(spark, [source(rows, "parts", "p_partkey"), step(stats, shape="aggregate", body="table")], "n long, n_brands long, max_size int").drop("lane")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS \"group\", string_agg(substr(role, 1, 1), '' ORDER BY turn) AS value FROM conversations GROUP BY conv_id")
@@ -371,16 +482,23 @@ def sample_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_fraction(lanes(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey"), 0.25, "seed").select("o_orderkey")
 
 
-@query("SELECT 0 AS violations")
+@query(f"""
+    SELECT count(*) FILTER (WHERE h < '{sampling.threshold(0.1)}') AS n_small, count(*) FILTER (WHERE h < '{sampling.threshold(0.4)}') AS n_large,
+           count(*) FILTER (WHERE h < '{sampling.threshold(0.1)}') AS n_both FROM (SELECT sha256('s' || chr(0) || o_orderkey) AS h FROM orders)""")
 def sample_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smaller sample of one seed is part of a larger one."""
     orders = lanes(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
-    small, large = (sampling.sample_fraction(orders, f, "s") for f in (0.1, 0.4))
-    return small.join(large, "lane", "left_anti").agg(F.count("*").cast("int").alias("violations"))
+    small, large = (sampling.sample_fraction(orders, f, "s").withColumn(n, F.lit(1)) for f, n in ((0.1, "a"), (0.4, "b")))
+    return small.join(large, "lane", "full").agg(F.count("a").alias("n_small"), F.count("b").alias("n_large"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 50")
+@query("SELECT n_name, (SELECT count(*) FROM nation) AS total FROM nation ORDER BY n_name LIMIT 10 OFFSET 5")
 def paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(50).limit(25)
+    """A page of a pipeline's current outputs, and how many there are."""
+    home = fresh_home(spark)
+    Pipeline("nations", [source(table(spark, sf_dir, "nation").select("n_name"), "nations", "n_name")]).run(home)
+    rows, total = selection.page(selection.current(home).select(F.get_json_object("output", "$.n_name").alias("n_name")), ["n_name"], 10, 5)
+    return rows.withColumn("total", F.lit(total).cast("long"))
 
 
 # selection
@@ -407,14 +525,22 @@ def version_range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'execute' ELSE 'reuse' END AS action, count(*) AS n FROM orders GROUP BY 1""")
+    WITH t AS (SELECT CASE WHEN o_totalprice >= 250000 THEN 'execute' ELSE 'reuse' END AS action, count(*) AS n FROM orders GROUP BY 1)
+    SELECT 'tier' AS step, action, n FROM t UNION ALL SELECT 'orders', 'reuse', 1 UNION ALL SELECT 'total', 'pending', 1""")
 def reuse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The planning join: candidate addresses against live ones."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", cents("o_totalprice").alias("cents"))
-    stored_ = rows.where("o_orderkey % 10 <> 0").select(sha(F.concat_ws(":", "o_orderkey", "cents")).alias("address"), F.lit(True).alias("live"))
-    wanted = rows.select(sha(F.concat_ws(":", "o_orderkey", "cents")).alias("address"))
-    action = F.when(F.col("live"), "reuse").otherwise("execute")
-    return wanted.join(stored_, "address", "left").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
+    """The plan after some outputs of a step were invalidated; nothing above it runs, what is below waits for it."""
+
+    def tier(orders: Column) -> Column:
+        return F.struct(F.when(orders.cents >= 25_000_000, "large").otherwise("small").alias("tier"), orders.o_orderkey.alias("id"))
+
+    def total(tier: Column) -> Column:
+        return F.struct(F.count("*").alias("n"))
+
+    home = fresh_home(spark)
+    pipeline = Pipeline("orders", [order_rows(spark, sf_dir), step(tier, body="column", schema="tier string, id long"), step(total, body="column", group_key="tier")])
+    pipeline.run(home)
+    lineage.invalidate(home, "step:tier tier:large", "for the plan")
+    return pipeline.plan(home).groupBy("step", "action").agg(F.count("*").alias("n"))
 
 
 def _shop(changed: int, name: str = "shop") -> Pipeline:
@@ -451,15 +577,26 @@ def incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT count(*) AS n_changed, 0 AS n_below FROM nation WHERE n_regionkey = 2""")
+    WITH n AS (SELECT count(*) FILTER (WHERE n_regionkey = 2) AS c, count(*) AS a FROM nation)
+    SELECT unnest(['rows', 'loud', 'greeting']) AS step, unnest([c, c, 0]) AS created, unnest([a - c, a - c, a]) AS reused, unnest([c, c, 0]) AS executed FROM n""")
 def early_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inputs change but a step's outputs do not, so nothing below it would run."""
-    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("name"))
-    after = rows.withColumn("name", F.when(F.col("n_regionkey") == 2, F.lower("name")).otherwise(F.col("name")))
-    ident = lambda f, c: f.select("n_nationkey", sha(canonical(c)).alias("identity"))
-    inputs = ident(rows, F.struct("name")).join(ident(after, F.struct("name")), ["n_nationkey", "identity"], "left_anti")
-    outs = ident(rows, F.upper("name")).join(ident(after, F.upper("name")), ["n_nationkey", "identity"], "left_anti")
-    return inputs.agg(F.count("*").alias("n_changed")).crossJoin(outs.agg(F.count("*").cast("int").alias("n_below")))
+    """Inputs change, so a step runs, but its outputs do not, so nothing below it runs."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("name"))
+
+    def loud(rows: Column) -> Column:
+        return F.struct(rows.n_nationkey.alias("id"), F.upper(rows["name"]).alias("name"))
+
+    def greeting(loud: Column) -> Column:
+        return F.struct(F.concat(F.lit("HELLO "), loud["name"]).alias("text"), loud.id.alias("id"))
+
+    home = fresh_home(spark)
+    for name in (F.col("name"), F.when(F.col("n_regionkey") == 2, F.lower("name")).otherwise(F.col("name"))):
+        rows = source(nations.withColumn("name", name), "rows", force=True)
+        last = Pipeline("greet", [rows, step(loud, body="column", schema="id int, name string"), step(greeting, body="column")]).run(home)
+    cells = home.cells(run_id=last.run_id).where("lane <> '@anchor'")
+    made = [F.count_if(F.col("status") == x).alias(x) for x in ("created", "reused")]
+    executed = F.count_if((F.col("attempts") > 0) & ((F.col("step") != "rows") | F.col("fresh"))).alias("executed")
+    return cells.groupBy("step").agg(*made, executed)
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -480,23 +617,50 @@ def trace_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
-    SELECT 'n' AS kind, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'c', count(*) FROM c UNION ALL SELECT 'o', count(*) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)""")
+    WITH n AS (SELECT count(*) FILTER (WHERE n_regionkey = 3) AS c, count(*) AS a, count(DISTINCT n_regionkey) AS g FROM nation)
+    SELECT unnest(['rows', 'kind', 'total']) AS step, unnest([c, c, 1]) AS dead, unnest([a - c, a - c, g - 1]) AS live FROM n""")
 def invalidate_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one region, and all that was made from them, are no longer live."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lanewright_nation")
+    home = fresh_home(spark)
+    _shop(-1).run(home)
+    lineage.invalidate(home, "step:rows n_regionkey:3", "wrong", downstream=True)
+    return _liveness(home)
+
+
+def _liveness(home: Home) -> DataFrame:
+    held = home.outputs().where("lane <> '@anchor'")
+    return held.groupBy("step").agg(F.count_if(~F.col("live")).alias("dead"), F.count_if("live").alias("live"))
+
+
+@query("""
+    WITH c AS (SELECT c_nationkey AS k FROM customer), o AS (SELECT c_nationkey AS k FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT 'n' AS kind, count(*) AS n FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'c', count(*) FROM c WHERE k = 3 UNION ALL SELECT 'o', count(*) FROM o WHERE k = 3""")
+def closure_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    seeds = spark.range(1).select(F.lit("n3").alias("node"))
-    found = graph.closure(edges, seeds, Home(spark, scratch_dir(spark)).cut)
+    found = graph.closure(edges, spark.range(1).select(F.lit("n3").alias("node")), fresh_home(spark).cut)
     return found.groupBy(F.substring("node", 1, 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("""
-    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 11 <> 0)
+    WITH n AS (SELECT * FROM nation WHERE n_regionkey = 1)
+    SELECT 'upstream' AS relation, 'rows' AS step, 1 AS depth, count(*) AS n FROM n UNION ALL SELECT 'seed', 'kind', 0, count(*) FROM n UNION ALL SELECT 'downstream', 'total', 1, 1""")
+def trace_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the outputs of one step came from and went into."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lanewright_nation")
+    home = fresh_home(spark)
+    _shop(-1).run(home)
+    found = lineage.trace(home, "step:kind region:1").where("step IS NOT NULL")
+    return found.groupBy("relation", "step", F.col("depth").cast("int").alias("depth")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    WITH a AS (SELECT n_nationkey AS k, n_regionkey AS v FROM nation), b AS (SELECT DISTINCT p_size AS k, p_size % 5 AS v FROM part)
     SELECT CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' WHEN a.v = b.v THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = lanes(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
-    cells = lambda f, v: f.select("lane", F.lit("created").alias("status"), sha(v).alias("identity"), v.alias("output"))
-    old = cells(orders.where("o_orderkey % 7 <> 0"), F.col("o_orderstatus"))
-    new = cells(orders.where("o_orderkey % 11 <> 0"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    cells = lambda f, v: f.select("lane", F.lit("created").alias("status"), sha(v.cast("string")).alias("identity"), v.cast("string").alias("output"))
+    old = cells(lanes(table(spark, sf_dir, "nation"), "n_nationkey"), F.col("n_regionkey"))
+    new = cells(lanes(table(spark, sf_dir, "part").select("p_size").distinct(), "p_size"), F.col("p_size") % 5)
     return classify(old, new).groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -509,33 +673,55 @@ def current_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 3""")
+    WITH n AS (SELECT count(*) FILTER (WHERE n_regionkey = 1) AS c, count(*) AS a, count(DISTINCT n_regionkey) AS g FROM nation)
+    SELECT unnest(['rows', 'kind', 'total']) AS step, unnest([c, c, 1]) AS dead, unnest([a, a, g]) AS live FROM n""")
 def retention_keep_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id")))
-    return table(spark, sf_dir, "events").withColumn("n", place).where("n <= 3").select("event_type", "event_id")
+    """Collecting garbage with the last run kept: what only the run before used goes."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lanewright_nation")
+    home = fresh_home(spark)
+    _shop(-1).run(home)
+    _shop(1).run(home)
+    storage.gc(home, retention=1)
+    return _liveness(home)
 
 
 @query("""
-    WITH v AS (SELECT DISTINCT lang, source, text FROM documents)
-    SELECT lang, source, count(*) AS n_values, sum(strlen(text)) AS bytes FROM v GROUP BY 1, 2
-    UNION ALL SELECT lang, NULL, count(*), sum(strlen(text)) FROM (SELECT DISTINCT lang, text FROM v) GROUP BY 1
-    UNION ALL SELECT NULL, NULL, count(*), sum(strlen(text)) FROM (SELECT DISTINCT text FROM v)""")
+    WITH r AS (SELECT '{"mark":1,"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS v FROM nation),
+    k AS (SELECT '{"mark":1,"region":' || n_regionkey || '}' AS v FROM nation), t AS (SELECT '{"marks":' || count(*) || '}' AS v FROM nation GROUP BY n_regionkey),
+    s AS (SELECT 'rows' AS step, v FROM r UNION ALL SELECT 'kind', v FROM k UNION ALL SELECT 'total', v FROM t),
+    u AS (SELECT step, count(*) AS n_rows, count(DISTINCT v) AS n_values FROM s GROUP BY step),
+    b AS (SELECT step, sum(strlen(v)) AS bytes FROM (SELECT DISTINCT step, v FROM s) GROUP BY step),
+    x AS (SELECT 'shop' AS pipeline, step, n_rows, n_values, bytes FROM u JOIN b USING (step))
+    SELECT * FROM x UNION ALL SELECT 'shop', NULL, sum(n_rows), sum(n_values), sum(bytes) FROM x UNION ALL SELECT NULL, NULL, sum(n_rows), sum(n_values), sum(bytes) FROM x""")
 def storage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of distinct values in each scope; only digests are shuffled."""
-    rows = table(spark, sf_dir, "documents").select("lang", "source", sha(F.col("text")).alias("h"), F.octet_length("text").cast("long").alias("bytes"))
-    none = F.lit(None).cast("string")
-    scope = F.array(F.struct("lang", "source"), F.struct(F.col("lang"), none.alias("source")), F.struct(none.alias("lang"), none.alias("source")))
-    once = rows.select(F.explode(scope).alias("s"), "h", "bytes").groupBy("s", "h").agg(F.max("bytes").alias("bytes"))
-    return once.groupBy("s").agg(F.count("*").alias("n_values"), F.sum("bytes").alias("bytes")).select("s.lang", "s.source", "n_values", "bytes")
+    """What a home holds after a run: rows, distinct values and their bytes in each scope."""
+    table(spark, sf_dir, "nation").createOrReplaceTempView("lanewright_nation")
+    home = fresh_home(spark)
+    _shop(-1).run(home)
+    return storage.usage(home).select("pipeline", "step", "n_rows", "n_values", "bytes")
 
 
 @query("""
-    SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY 1""")
+    WITH c AS (SELECT CASE n_regionkey WHEN 0 THEN 'failed' WHEN 1 THEN 'filtered' ELSE 'created' END AS s, count(*) AS n FROM nation GROUP BY 1)
+    SELECT 'nations' AS step, (SELECT sum(n) FROM c)::BIGINT AS created, 0 AS failed, 0 AS filtered, 0 AS blocked
+    UNION ALL SELECT 'picky', sum(n) FILTER (WHERE s = 'created'), sum(n) FILTER (WHERE s = 'failed'), sum(n) FILTER (WHERE s = 'filtered'), 0 FROM c
+    UNION ALL SELECT 'after', sum(n) FILTER (WHERE s = 'created'), 0, sum(n) FILTER (WHERE s = 'filtered'), sum(n) FILTER (WHERE s = 'failed') FROM c""")
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = [F.count_if(F.col("event_type") == t).alias(t) for t in ("click", "error", "view")]
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(*counted)
+    """States of a run's cells: errors are kept by row, and block what depends on them."""
+
+    def picky(nations: dict) -> object:
+        if nations["n_regionkey"] == 0:
+            raise ValueError("not this region")
+        return Filtered("nor that") if nations["n_regionkey"] == 1 else nations["n_name"]
+
+    def after(picky: str) -> str:
+        return picky.lower()
+
+    home = fresh_home(spark)
+    nations = source(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", "n_name"), "nations", "n_nationkey")
+    last = Pipeline("states", [nations, step(picky), step(after)]).run(home)
+    cells = home.cells(run_id=last.run_id).where("lane <> '@anchor'")
+    return cells.groupBy("step").agg(*[F.count_if(F.col("status") == x).alias(x) for x in ("created", "failed", "filtered", "blocked")])
 
 
 # extras that Spark brings along; not capabilities of the reference

@@ -92,3 +92,11 @@ def lane_join(sides: Sequence[tuple[str, DataFrame]], strict: bool = True) -> Da
         absent = reduce(lambda a, b: a | b, [F.col(n).isNull() for n, _ in sides])
         joined = joined.withColumn("lane", F.when(absent, F.raise_error(F.concat(F.lit("disjoint lane sets at "), F.col("lane"))).cast("string")).otherwise(F.col("lane")))
     return joined
+
+
+def existence_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, mode: str = "semi") -> DataFrame:
+    """Rows of left whose key right has (semi) or lacks (anti); a null key is in neither side."""
+    if mode not in ("semi", "anti"):
+        raise ValueError("mode is semi or anti")
+    keys = right.select(F.col(right_key).alias("_key")).where("_key IS NOT NULL").distinct()
+    return left.join(keys, F.col(left_key) == F.col("_key"), f"left_{mode}")

@@ -384,7 +384,8 @@ class Run:
         decided = self.home.cut(self._decide(s, rows.withColumn("address", self._address(s, F.col("input_hash")))))
         todo = decided.where("action = 'execute'")
         inside = todo.select(F.col("lane").alias("group")).join(members, "group", "left").withColumn("dep", F.coalesce("dep", F.lit(next(iter(s.depends_on.values())))))
-        ran = bodies.run_column_group(s, inside, self.schemas, self.params) if s.body == "column" else bodies.run_group(s, inside, self.params)
+        runs = {"column": bodies.run_column_group, "table": bodies.run_table_group}
+        ran = runs[s.body](s, inside, self.schemas, self.params) if s.body in runs else bodies.run_group(s, inside, self.params)
         done = self._finish(todo.join(ran, "lane"), s)
         return done.select(*self._CELL).unionByName(self._settled(decided).select(*self._CELL))
 
@@ -477,6 +478,8 @@ class Run:
             twice = duplicate_keys([(n, self.tables[n].where(F.col(k).isNotNull()), F.col(k)) for n, k in s.join_on.items()]).limit(1)
             if not twice.isEmpty():
                 self.note(s.name, "duplicate_join_keys", "a key repeats on both sides")
+        elif s.body == "rows":
+            made = bodies.run_rows(s, self.tables[next(iter(s.depends_on.values()))], self.params)
         else:
             extra = ({"spark": self.spark} if "spark" in inspect.signature(s.fn).parameters else {}) | ({"params": self.params} if s.params else {})
             made = s.fn(**given, **extra)

@@ -15,8 +15,9 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lanewright.functions.identity import canonical, canonical_text
+from lanewright.functions.identity import ALL, canonical, canonical_text
 from lanewright.spec import NOTHING, Filtered, Step
 
 OUTCOME = "output string, content_type string, filtered boolean, reason string, error string, error_type string, attempts int"
@@ -63,7 +64,7 @@ def attempt(step: Step, call: Callable[[], Any], keep: Callable[[Any], Any]) ->
             return text, kind, False, None, None, None, tries
         except Exception as error:
             if tries <= step.retries and isinstance(error, step.retry_on):
-                time.sleep(step.retry_delay)
+                time.sleep(step.retry_delay * step.retry_backoff ** (tries - 1))
                 continue
             return None, None, False, None, str(error), type(error).__name__, tries
 
@@ -182,3 +183,23 @@ def run_column_group(step: Step, members: DataFrame, schemas: dict[str, str | No
     result = step.fn(typed(F.col("output"), schema), **extra)
     made = members.groupBy("group").agg(result.alias("v"))
     return made.select(F.col("group").alias("lane"), *[c.alias(n) for n, c in outcome_columns(F.col("v")).items()])
+
+
+def run_table_group(step: Step, members: DataFrame, schemas: dict[str, str | None], params: Any) -> DataFrame:
+    """(lane, outcome): the step's function gets each parent's lanes as a frame and returns one row, or one for each group."""
+    there = members.where("lane IS NOT NULL")
+    frames = {a: there.where(F.col("dep") == p).select("group", "lane", typed(F.col("output"), schemas.get(p)).alias("v")) for a, p in step.depends_on.items()}
+    frames = {a: f.select("group", "lane", "v.*") if schemas.get(step.depends_on[a]) else f for a, f in frames.items()}
+    made = step.fn(**frames, **({"params": params} if step.params else {}))
+    if "group" not in made.columns:
+        made = made.withColumn("group", F.lit(ALL))
+    value = F.struct(*[F.col(f"`{c}`") for c in made.columns if c != "group"])
+    return made.select(F.col("group").alias("lane"), *[c.alias(n) for n, c in outcome_columns(value).items()])
+
+
+def run_rows(step: Step, table: DataFrame, params: Any) -> DataFrame:
+    """A table with the step's column, or the table of the structs that the step makes of each row."""
+    argument = next(iter(step.depends_on))
+    value = step.fn(**{argument: F.struct(*[F.col(f"`{c}`") for c in table.columns])}, **({"params": params} if step.params else {}))
+    made = table.select(value.alias(step.name))
+    return made.select(f"`{step.name}`.*") if isinstance(made.schema[0].dataType, StructType) else table.withColumn(step.name, value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import shlex
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -140,3 +141,10 @@ def search(home: Home, run_id: str, text: str) -> DataFrame:
     both = down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = closure(both, hit.select(F.col("address").alias("node")), home.cut)
     return cells.join(found.withColumnRenamed("node", "address"), "address")
+
+
+def page(rows: DataFrame, by: Sequence[str], limit: int, offset: int = 0) -> tuple[DataFrame, int]:
+    """(rows of one page in order, number of all rows)."""
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset are 0 or more")
+    return rows.orderBy(*by).offset(offset).limit(limit), rows.count()

@@ -37,3 +37,21 @@ def ship(spark: SparkSession) -> None:
             archive.write(source, source.relative_to(package.parent))
     context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names.
+
+    A session on one machine without that setting (tests) gets a folder of its
+    own, once; on a cluster a local folder would be no use, so it is an error.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        context = spark.sparkContext
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        at = context.getCheckpointDir()
+        if at is None:
+            at = tempfile.mkdtemp(prefix="lanewright-")
+            context.setCheckpointDir(at)
+    return at.rstrip("/")

@@ -54,6 +54,7 @@ class Step:
     workers: int | None = None
     params: bool = False
     source_hash: str | None = None
+    retry_backoff: float = 1.0
 
     def __call__(self, *args: Any, **kwargs: Any) -> Any:
         return self.fn(*args, **kwargs)
@@ -115,6 +116,7 @@ def step(
     retries: int = 0,
     retry_on: type[BaseException] | Sequence[type[BaseException]] = Exception,
     retry_delay: float = 0.0,
+    retry_backoff: float = 1.0,
     rate_limit: str | None = None,
     code: str = "warn",
     output_model: Any = None,
@@ -126,8 +128,14 @@ def step(
     """Declares a step, bare or with options.
 
     body says what the function works on: ``column`` (columns in, a column or,
-    for a source, a frame out; stays in Catalyst) or ``python`` (values in and
-    out, one call for each row or group).
+    for a source, a frame out; stays in Catalyst), ``python`` (values in and
+    out, one call for each row or group), ``rows`` (a table step over one table:
+    a struct of each row's columns in; a struct out makes a new table, anything
+    else a column named as the step) or ``table`` (an aggregate: frames of the
+    parents' lanes in, with group and lane; one row, or one for each group, out).
+
+    The n-th repeat of a failed call waits retry_delay * retry_backoff ** (n - 1)
+    seconds.
     """
     if fn is None:
         options = {k: v for k, v in locals().items() if k != "fn"}
@@ -153,7 +161,7 @@ def step(
     made = Step(
         fn, name or fn.__name__, kind, body, version, parents, join_on, join_mode, group_key, fold_init, row_key, as_table, use_cache, force,
         scalars.seconds(stale_after), on_failed, retries, tuple(retry_on) if isinstance(retry_on, Sequence) else (retry_on,), retry_delay,
-        scalars.per_second(rate_limit), code, output_model, tuple(assertions), schema, workers, any(p.name == "params" for p in parameters), source,
+        scalars.per_second(rate_limit), code, output_model, tuple(assertions), schema, workers, any(p.name == "params" for p in parameters), source, retry_backoff,
     )
     check(made, executor)
     return made
@@ -162,7 +170,9 @@ def step(
 def check(s: Step, executor: str = "spark") -> None:
     """Raises ValueError for options that contradict each other."""
     rules = [
-        (s.body not in ("column", "python"), "body is column or python"),
+        (s.body not in ("column", "python", "rows", "table"), "body is column, python, rows or table"),
+        (s.body == "rows" and not (s.as_table and s.shape == "map" and len(s.depends_on) == 1), "a body of rows is for a table step over one table"),
+        (s.body == "table" and s.shape != "aggregate", "a body of table is for aggregate"),
         (s.code not in ("warn", "auto"), "code is warn or auto"),
         (s.version == "auto", "version='auto' isn't a version; use code='auto'"),
         (s.join_mode not in ("intersect", "union"), "join_mode is intersect or union"),
@@ -175,6 +185,7 @@ def check(s: Step, executor: str = "spark") -> None:
         (s.use_cache is False and s.shape in FAN_IN, f"{s.shape} is always stored"),
         (executor not in ("spark", "thread", "process"), "executor is spark (thread and process are accepted)"),
         (s.retries < 0, "retries can't be negative"),
+        (s.retry_delay < 0 or s.retry_backoff < 1, "retry_delay is 0 or more, retry_backoff 1 or more"),
         (s.use_cache is False and (s.force or s.stale_after is not None), "force and stale_after need a stored step"),
         (s.force and s.stale_after is not None, "force and stale_after exclude each other"),
         (s.on_failed not in ("use_passed", "block"), "on_failed is use_passed or block"),

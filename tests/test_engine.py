@@ -269,3 +269,73 @@ def test_objects_and_lease(home, spark):
             pass
     with home.lease("p", ttl=-1), home.lease("p"):
         pass
+
+
+def test_retry_backoff(home, tmp_path):
+    """Each repeat waits longer; a call that gives up is a failed cell with its number of attempts."""
+    from lanewright.plans import bodies
+
+    waits = []
+
+    def flaky(x):
+        raise ValueError(x)
+
+    made = step(flaky, depends_on=["x"], retries=3, retry_delay=0.5, retry_backoff=2.0)
+    before, bodies.time.sleep = bodies.time.sleep, waits.append
+    try:
+        outcome = bodies.attempt(made, lambda: flaky(1), bodies.stored)
+    finally:
+        bodies.time.sleep = before
+    assert waits == [0.5, 1.0, 2.0] and outcome[5:] == ("ValueError", 4)
+    with pytest.raises(ValueError):
+        step(flaky, depends_on=["x"], retry_backoff=0.5)
+
+
+def test_row_kernel_and_table_input(home, spark):
+    def base():
+        return spark.createDataFrame([(1, "a"), (2, "bb"), (3, None)], "k int, s string")
+
+    def size(base):
+        return F.length(base.s)
+
+    def pair(base):
+        return F.struct((base.k * 2).alias("twice"), base.s.alias("s"))
+
+    def rows(spark):
+        return spark.createDataFrame([(i, i % 2) for i in range(5)], "i long, g long")
+
+    def wide(rows):
+        return rows.agg(F.max("i").alias("most"), F.countDistinct("g").alias("n_groups"))
+
+    def each(rows):
+        return rows.groupBy("group").agg(F.sum("i").alias("s"))
+
+    steps = [
+        step(base, as_table=True), step(size, as_table=True, body="rows"), step(pair, as_table=True, body="rows"), step(rows, shape="expand", body="column", row_key="i", schema="i long, g long"),
+        step(wide, shape="aggregate", body="table"), step(each, shape="aggregate", body="table", group_key="g"),
+    ]
+    p = Pipeline("kernels", steps)
+    first = p.run(home)
+    assert first.status == "completed"
+    value = {r["step"] + r["lane"]: json.loads(r["output"]) for r in home.outputs("kernels").where("lane <> '@anchor' AND step <> 'rows'").collect()}
+    made = {k.split("@")[0]: spark.read.parquet(v["$table"]) for k, v in value.items() if "$table" in v}
+    assert sorted(map(tuple, made["size"].collect()), key=str) == [(1, "a", 1), (2, "bb", 2), (3, None, None)] and made["size"].columns == ["k", "s", "size"]
+    assert sorted(map(tuple, made["pair"].collect()), key=str) == [(2, "a"), (4, "bb"), (6, None)]
+    assert value["wide@all"] == {"most": 4, "n_groups": 2} and value["each0"] == {"s": 6} and value["each1"] == {"s": 4}
+    assert p.run(home).created == 0
+    with pytest.raises(ValueError):
+        step(size, body="rows")
+    with pytest.raises(ValueError):
+        step(wide, body="table")
+
+
+def test_page_and_existence(spark):
+    from lanewright import selection
+    from lanewright.operators import joins
+
+    frame = spark.createDataFrame([(i,) for i in (5, 3, None, 1, 4)], "k int")
+    rows, total = selection.page(frame, ["k"], 2, 1)
+    assert [r["k"] for r in rows.collect()] == [1, 3] and total == 5
+    other = spark.createDataFrame([(3,), (3,), (None,)], "k2 int")
+    assert [r["k"] for r in joins.existence_join(frame, other, "k", "k2").collect()] == [3]
+    assert sorted(str(r["k"]) for r in joins.existence_join(frame, other, "k", "k2", "anti").collect()) == ["1", "4", "5", "None"]
