@@ -6,16 +6,26 @@ Document i has n_i tokens (words) and posterior p_i.  Nonnegative rates r_i are
 fitted so that the expected tokens of each domain, sum r_i n_i p_i, match the
 targets b, and rates stay near 1 where that leaves a choice:
 
-    min over r >= 0 of  |sum r_i n_i p_i - b|^2 / 2N^2 + RIDGE/2 sum (n_i/N) (r_i - 1)^2
+    min over r >= 0 of  e' M^+ e / 2 + RIDGE/2 sum (n_i/N) (r_i - 1)^2
+    with  e = (sum r_i n_i p_i - b) / N  and  M = sum (n_i/N) p_i p_i'
 
-by projected gradient with momentum.  The gradient for document i depends on
-the others only through the K domain totals, so one step is one distributed sum
-of K numbers; a document's rate follows from its posterior and the totals of
-all steps so far, and is never stored or sent.
+by projected gradient with momentum.  M makes the problem well scaled however
+small a domain is; without it a ridge and a number of steps that suit a large
+domain leave a small one far from its target.  Targets that rates can meet are
+met in any scale; of others M decides how the rest is shared out.  Steps end
+when each domain is within ``TOLERANCE`` of its target, relative to it, or when
+totals no longer move.
+
+The gradient for document i depends on the others only through the K domain
+totals, so one step is one distributed sum of 2K numbers; a document's rate
+follows from its posterior and the totals of all steps so far, and is never
+stored or sent.
 
 The classifier is fitted on at most ``SAMPLE_DOCS`` labelled documents (those
-with the smallest hash of their id) and at most ``VOCABULARY`` words of these;
-prediction, totals and rates cover all documents, whole.
+with the smallest hash of their id; of rows that share an id the one with the
+smallest text digest), at most ``SAMPLE_WORDS`` distinct words of each (those
+with the smallest hash) and at most ``VOCABULARY`` words in all; prediction,
+totals and rates cover all documents, whole.
 
 Null and empty texts have no tokens: they get the classifier's prior and do not
 count in totals.  Labels with a null in any column are not used.  Without any
@@ -36,9 +46,10 @@ from pyspark.sql import functions as F
 from lanewright.llm import _text
 from lanewright.llm._state import Scratch, read_table
 
-#: Bounds of the classifier's training data, and the rate of its own ridge.
-SAMPLE_DOCS, VOCABULARY, MIN_DOCS = 4_000, 4_096, 4
-RIDGE, STEPS, TOLERANCE = 1e-3, 60, 1e-5
+#: Bounds of the classifier's training data.
+SAMPLE_DOCS, SAMPLE_WORDS, VOCABULARY, MIN_DOCS = 4_000, 4_096, 4_096, 4
+#: Weight of staying near a rate of 1, most steps, largest relative error of a domain, least move of the totals.
+RIDGE, STEPS, TOLERANCE, STILL = 1e-5, 120, 1e-3, 1e-8
 #: Share of all tokens that each domain should have; the labels' values name a domain.
 TARGETS = {"quality=1,toxic=0": 0.96, "quality=0,toxic=0": 0.02, "quality=1,toxic=1": 0.015, "quality=0,toxic=1": 0.005}
 
@@ -109,13 +120,15 @@ def train(docs: DataFrame, labels: DataFrame, columns: Sequence[str], id_col: st
             for part in _text.pieces(batch, "text"):
                 f = Features(part.column("text"))
                 at = np.searchsorted(f.doc, np.arange(len(f.count) + 1))
-                found = [np.unique(f.word[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                found = [np.unique(f.word[a:b])[:SAMPLE_WORDS].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("domain"), pa.array(found, pa.binary()), pa.array([x.tobytes() for x in f.dense], pa.binary())],
                     names=["id", "domain", "words", "dense"],
                 )
 
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(words, "id long, domain string, words binary, dense binary").collect()
+    # ids may repeat in docs, and labels in labels: one text for each chosen row
+    known = texts.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "domain").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    rows = known.mapInArrow(words, "id long, domain string, words binary, dense binary").collect()
     rows.sort(key=lambda r: (r["id"], r["domain"], bytes(r["words"])))
     if not rows:
         return DomainModel([""], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros((5, 1)))
@@ -164,28 +177,47 @@ def rates(posterior: np.ndarray, history: list[np.ndarray]) -> tuple[np.ndarray,
 
 
 def solve(members: DataFrame, targets: np.ndarray, total: float) -> list[np.ndarray]:
-    """The steps' scaled excess of each domain total; members has n_tokens and posterior."""
+    """The steps' excess of the domain totals, scaled by M^+; members has n_tokens and posterior."""
     k, history = len(targets), []
     if not total:
         return history
-    for _ in range(STEPS):
-        steps = list(history)
 
-        def sums(batches: Iterator[pa.RecordBatch], steps: list[np.ndarray] = steps) -> Iterator[pa.RecordBatch]:
-            got = np.zeros(k)
+    def sums(steps: list[np.ndarray] | None) -> np.ndarray:
+        """Shares of the domains at the rates and at the points after these steps; M for none."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got = np.zeros((k if steps is None else 2, k))
             for batch in batches:
                 p = np.asarray(batch.column("posterior").flatten()).reshape(-1, k)
-                got += (rates(p, steps)[1] * np.asarray(batch.column("n_tokens"))) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64()))], names=["s"])
+                at = p if steps is None else np.stack(rates(p, steps), axis=1)
+                got += (at * np.asarray(batch.column("n_tokens"))[:, None]).T @ p
+            yield pa.RecordBatch.from_arrays([pa.array([got.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        parts = members.select("n_tokens", "posterior").mapInArrow(work, "s array<double>")
+        n = k * (k if steps is None else 2)
+        return np.array(parts.agg(*[F.sum(F.col("s")[i]) for i in range(n)]).first(), float).reshape(-1, k) / total
 
-        parts = members.select("n_tokens", "posterior").mapInArrow(sums, "s array<double>")
-        now = np.array(parts.agg(*[F.sum(F.col("s")[i]) for i in range(k)]).first(), float)
-        history.append((now - targets) / total)
-        if len(history) > 1 and np.abs(history[-1] - history[-2]).max() < TOLERANCE:
+    scale = np.linalg.pinv(sums(None), rcond=1e-9, hermitian=True)
+    wanted, before = targets / total, None
+    least = np.maximum(wanted, 1e-3 * max(wanted.sum(), 1e-300))  # for domains that should have no tokens
+    for _ in range(STEPS):
+        now, point = sums(list(history))
+        met = (np.abs(now - wanted) / least).max() < TOLERANCE
+        if met or (before is not None and len(history) > 1 and np.abs(now - before).max() < STILL):
             break
+        history.append(scale @ (point - wanted))
+        before = now
     return history
 
 
+def domain_shares(mixed_: DataFrame, model: DomainModel) -> DataFrame:
+    """(domain, before, after): each domain's expected share of the tokens of mix's rows, and of those at their rates."""
+    part = lambda i, by: F.sum(F.col("n_tokens") * F.col("posterior")[i] * by)
+    each = [F.struct(F.lit(d).alias("domain"), part(i, F.lit(1.0)).alias("a"), part(i, F.col("rate")).alias("b")) for i, d in enumerate(model.domains)]
+    one = mixed_.agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("rate")).alias("m"), F.array(*each).alias("each"))
+    return one.select("n", "m", F.explode("each").alias("x")).select("x.domain", (F.col("x.a") / F.col("n")).alias("before"), (F.col("x.b") / F.col("m")).alias("after"))
+
+
 def mix(docs: DataFrame, model: DomainModel, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] | None = None) -> DataFrame:
     """The given columns of docs (default: all), and n_tokens, posterior, rate and n_copies (columns of these names are replaced).
 

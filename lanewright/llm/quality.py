@@ -219,8 +219,8 @@ class LineField:
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineField:
     """A field trained on at most sample_docs labelled documents."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
-    chosen = known.orderBy(F.xxhash64("id"), "id", "good").limit(sample_docs)  # a bounded table
+    usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("good"))
+    chosen = usable.orderBy(F.xxhash64("id"), "id", "good").limit(sample_docs)  # a bounded table
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
                 packed = [lines.features[a:b].astype(np.uint8).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("good"), pa.array(packed, pa.binary())], names=["id", "good", "lines"])
 
-    rows = texts.join(F.broadcast(chosen), "id").mapInArrow(work, "id long, good int, lines binary").collect()
+    # ids may repeat in docs, and labels in labels: one text for each chosen row
+    known = texts.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "good").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
+    rows = known.mapInArrow(work, "id long, good int, lines binary").collect()
     field = LineField()
     rows.sort(key=lambda r: (r["id"], r["good"], bytes(r["lines"])))
     if len({r["good"] > 0 for r in rows}) == 2:
