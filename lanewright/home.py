@@ -1,8 +1,11 @@
 """A home: the append-only tables that remember what ran and what it made.
 
 Every step of a run writes its cells once; a commit row makes them visible.
-Cells that stored something new carry the output, so the tables of outputs,
-edges and liveness are views of the cells, plus a log of later liveness changes.
+Cells that stored something new carry the output, so outputs and liveness are
+views of the cells, plus a log of later liveness changes.  A cell names its own
+parents where a step binds them by lane, which are as many as the step has;
+members of groups and children of expanded lanes, which may be any number, are
+rows of their own in the table of links.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ from lanewright.session import ship
 CELLS = (
     "run_id string, pipeline string, step string, lane string, input_hash string, address string, status string, output string, "
     "content_type string, identity string, filtered boolean, reason string, error string, error_type string, attempts int, "
-    "version string, code_hash string, parents array<string>, children array<string>, fresh boolean, ts double, seq bigint"
+    "version string, code_hash string, parents array<string>, fresh boolean, ts double, seq bigint"
 )
 TABLES = {
     "cells": CELLS,
+    # kind edge: child was made from parent; kind child: an anchor (parent) has this child since that run
+    "links": "run_id string, pipeline string, step string, kind string, parent string, child string",
     "commits": "run_id string, pipeline string, step string, seq bigint",
     "runs": "run_id string, pipeline string, kind string, status string, params string, selection string, definition string, summary string, error string, ts double, seq bigint",
     "events": "run_id string, pipeline string, step string, lane string, level string, event string, message string, ts double",
     "liveness": "address string, fulfilled boolean, run_id string, reason string, seq bigint",
     "reclamations": "address string, identity string, bytes bigint, trigger string, run_id string, ts double",
 }
-PARTITIONS = {"cells": ["pipeline", "step", "run_id"]}
+PARTITIONS = {"cells": ["pipeline", "step", "run_id"], "links": ["pipeline", "step", "run_id"]}
 
 
 class Home:
@@ -107,7 +112,14 @@ class Home:
 
     def cells(self, pipeline: str | None = None, step: str | None = None, run_id: str | None = None) -> DataFrame:
         """Committed cells; the arguments prune partitions."""
-        found = self.read("cells")
+        return self._committed("cells", pipeline, step, run_id)
+
+    def links(self, kind: str, pipeline: str | None = None, step: str | None = None) -> DataFrame:
+        """Committed links of one kind; the arguments prune partitions."""
+        return self._committed("links", pipeline, step, None).where(F.col("kind") == kind)
+
+    def _committed(self, table: str, pipeline: str | None, step: str | None, run_id: str | None) -> DataFrame:
+        found = self.read(table)
         for column, value in (("pipeline", pipeline), ("step", step), ("run_id", run_id)):
             if value is not None:
                 found = found.where(F.col(column) == value)
@@ -128,7 +140,8 @@ class Home:
 
     def edges(self) -> DataFrame:
         """(parent, child) addresses, once each."""
-        return self.cells().where("status IN ('created', 'reused', 'filtered')").select(F.explode("parents").alias("parent"), F.col("address").alias("child")).distinct()
+        bound = self.cells().where("status IN ('created', 'reused', 'filtered')").select(F.explode("parents").alias("parent"), F.col("address").alias("child"))
+        return bound.union(self.links("edge").select("parent", "child")).distinct()
 
     def runs(self) -> DataFrame:
         """The last state of each run, newest first, with its start."""

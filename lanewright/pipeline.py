@@ -225,7 +225,7 @@ class Run:
 
     def _decide(self, s: Step, rows: DataFrame) -> DataFrame:
         """rows with action, and what is stored for those that are reused."""
-        names = ["address", "identity", "output", "content_type", "filtered", "reason", "children", "code_hash", "ts"]
+        names = ["address", "identity", "output", "content_type", "filtered", "reason", "run_id", "code_hash", "ts"]
         live = self.home.outputs(self.p.name, s.name).where("live").select(*[F.col(n).alias(n if n == "address" else f"was_{n}") for n in names])
         both = rows.join(live, "address", "left")
         usable = F.col("was_identity").isNotNull() | F.col("was_filtered")
@@ -258,7 +258,7 @@ class Run:
 
     def _planned(self, s: Step, decided: DataFrame) -> DataFrame:
         if s.shape == "expand":
-            known = decided.where("action = 'reuse'").select(F.explode("was_children").alias("address")).distinct()
+            known = self._kin(s, decided).select("address").distinct()
             kids = self.home.outputs(self.p.name, s.name).where("live AND lane <> '@anchor'").join(known, "address", "left_semi").select("lane", "address", "identity", "output", F.lit("ok").alias("state"))
             rest = decided.where("action <> 'reuse'").select("lane", "address", F.expr(_NULL).alias("identity"), F.expr(_NULL).alias("output"), F.lit("pending").alias("state"))
             return kids.union(rest)
@@ -285,7 +285,7 @@ class Run:
             cells = self._row_cells(s)
         stamped = cells.select(
             F.lit(self.run_id).alias("run_id"), F.lit(self.p.name).alias("pipeline"), F.lit(s.name).alias("step"), "lane", "input_hash", "address", "status", "output", "content_type",
-            "identity", "filtered", "reason", "error", "error_type", "attempts", F.lit(s.version).alias("version"), F.lit(s.source_hash).cast("string").alias("code_hash"), "parents", "children", "fresh",
+            "identity", "filtered", "reason", "error", "error_type", "attempts", F.lit(s.version).alias("version"), F.lit(s.source_hash).cast("string").alias("code_hash"), "parents", "fresh",
             F.lit(now_seq() / 1e9).alias("ts"), F.lit(self.seq + ordinal).alias("seq"),
         )
         self.home.append("cells", stamped)
@@ -308,7 +308,7 @@ class Run:
         same = F.coalesce((identity == F.col("was_identity")) & ~F.lit(s.stale_after is not None), F.lit(False))
         status = F.when(F.col("error").isNotNull(), "failed").when(F.col("filtered"), "filtered").when(same, "reused").otherwise("created")
         fresh = F.col("error").isNull() & ~same
-        return ran.withColumns({"identity": identity, "status": status, "fresh": fresh}).withColumn("output", F.when(F.col("fresh"), F.col("output"))).withColumn("children", F.expr("CAST(NULL AS array<string>)"))
+        return ran.withColumns({"identity": identity, "status": status, "fresh": fresh}).withColumn("output", F.when(F.col("fresh"), F.col("output")))
 
     def _settled(self, decided: DataFrame) -> DataFrame:
         """Cells that need no body: reused, filtered or blocked."""
@@ -316,10 +316,26 @@ class Run:
         null = F.expr(_NULL)
         return decided.where("action <> 'execute'").withColumns(
             {"status": status, "output": null, "content_type": F.col("was_content_type"), "identity": F.when(F.col("action") == "reuse", F.col("was_identity")), "filtered": status == "filtered",
-             "reason": F.col("was_reason"), "error": null, "error_type": null, "attempts": F.lit(0), "children": F.col("was_children"), "fresh": F.lit(False)}
+             "reason": F.col("was_reason"), "error": null, "error_type": null, "attempts": F.lit(0), "fresh": F.lit(False)}
         )
 
-    _CELL = ["lane", "input_hash", "address", "status", "output", "content_type", "identity", "filtered", "reason", "error", "error_type", "attempts", "parents", "children", "fresh"]
+    _CELL = ["lane", "input_hash", "address", "status", "output", "content_type", "identity", "filtered", "reason", "error", "error_type", "attempts", "parents", "fresh"]
+
+    def _kin(self, s: Step, decided: DataFrame) -> DataFrame:
+        """(anchor, up, address): the children of reused anchors, as of the run that stored the anchor."""
+        kept = decided.where("action = 'reuse'").select(F.col("address").alias("parent"), F.col("was_run_id").alias("run_id"), F.col("parents").alias("up"))
+        found = self.home.links("child", self.p.name, s.name).select("parent", "run_id", F.col("child").alias("address"))
+        return kept.join(found, ["parent", "run_id"]).select(F.col("parent").alias("anchor"), "up", "address")
+
+    def _link(self, s: Step, kind: str, pairs: DataFrame) -> None:
+        """Appends (parent, child); they count once the step is committed."""
+        named = {"run_id": F.lit(self.run_id), "pipeline": F.lit(self.p.name), "step": F.lit(s.name), "kind": F.lit(kind)}
+        self.home.append("links", pairs.withColumns(named))
+
+    def _new_edges(self, s: Step, pairs: DataFrame) -> None:
+        """Links those (parent, child) that no earlier run has."""
+        known = self.home.links("edge", self.p.name, s.name).select("parent", "child")
+        self._link(s, "edge", pairs.distinct().join(known, ["parent", "child"], "left_anti"))
 
     def _row_cells(self, s: Step) -> DataFrame:
         decided = self.home.cut(self._decide(s, self._candidates(s, self.scope is None)))
@@ -379,9 +395,10 @@ class Run:
             self.note(s.name, "partial_fan_in", f"{bad} members failed or were blocked")
             if s.on_failed == "block" or members.isEmpty():
                 rows = rows.withColumn("state", F.lit("blocked"))
-        of_group = members.groupBy("group").agg(F.collect_set("address").alias("parents"))
-        rows = rows.join(of_group, rows["lane"] == of_group["group"], "left").drop("group").withColumn("parents", F.coalesce("parents", F.expr("CAST(array() AS array<string>)")))
+        rows = rows.withColumn("parents", F.expr("CAST(array() AS array<string>)"))
         decided = self.home.cut(self._decide(s, rows.withColumn("address", self._address(s, F.col("input_hash")))))
+        whole = decided.where("action IN ('execute', 'reuse')").select(F.col("lane").alias("group"), F.col("address").alias("child"))
+        self._new_edges(s, members.select("group", F.col("address").alias("parent")).join(whole, "group").select("parent", "child"))
         todo = decided.where("action = 'execute'")
         inside = todo.select(F.col("lane").alias("group")).join(members, "group", "left").withColumn("dep", F.coalesce("dep", F.lit(next(iter(s.depends_on.values())))))
         runs = {"column": bodies.run_column_group, "table": bodies.run_table_group}
@@ -390,12 +407,12 @@ class Run:
         return done.select(*self._CELL).unionByName(self._settled(decided).select(*self._CELL))
 
     def _expand_cells(self, s: Step) -> DataFrame:
-        """An anchor row for each parent, with its children's addresses, and a cell for each child."""
+        """An anchor row for each parent, a cell for each child, and links between them."""
         decided = self._decide(s, self._anchored(s))
         live = self.home.outputs(self.p.name, s.name).where("live AND lane <> '@anchor'")
         # an anchor counts only if all of its children are still there
-        kids = decided.where("action = 'reuse'").select("address", "lane", F.explode_outer("was_children").alias("child"))
-        lost = kids.where("child IS NOT NULL").join(live.select(F.col("address").alias("child")), "child", "left_anti").select("address").distinct().withColumn("lost", F.lit(True))
+        kids = self._kin(s, decided).join(live.select("address"), "address", "left_anti")
+        lost = kids.select(F.col("anchor").alias("address")).distinct().withColumn("lost", F.lit(True))
         decided = decided.join(lost, "address", "left").withColumn("action", F.when(F.col("lost"), "execute").otherwise(F.col("action"))).drop("lost")
         decided = self.home.cut(decided)
         self._drift(s, decided)
@@ -425,21 +442,24 @@ class Run:
         minted = self.home.cut(payload.select(F.col("address").alias("anchor"), "payload", "h", self._address(s, F.col("h")).alias("address")).dropDuplicates(["anchor", "address"]))
         owners = decided.select(F.col("address").alias("anchor"), F.col("parents").alias("up"))
         null = F.expr(_NULL)
-        once = minted.join(owners, "anchor").groupBy("address").agg(F.max("payload").alias("output"), F.first("h").alias("h"), F.array_distinct(F.flatten(F.collect_list("up"))).alias("parents"))
+        alone = F.expr("CAST(array() AS array<string>)")
+        kin = self.home.cut(self._kin(s, decided))
+        self._link(s, "child", minted.select(F.col("anchor").alias("parent"), F.col("address").alias("child")))
+        every = minted.join(owners, "anchor").select("up", "address").union(kin.select("up", "address"))
+        self._new_edges(s, every.select(F.explode("up").alias("parent"), F.col("address").alias("child")))
+        once = minted.groupBy("address").agg(F.max("payload").alias("output"), F.first("h").alias("h")).withColumn("parents", alone)
         made = once.join(live.select("address", F.col("identity").alias("was_identity")), "address", "left").withColumns(
             {"lane": lane_of(F.col("h")), "input_hash": F.col("h"), "content_type": F.lit("json"), "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(1)}
         )
         made = self._finish(made, s)
-        known = decided.where("action = 'reuse'").select(F.explode("was_children").alias("address"), F.col("parents").alias("up"))
-        known = known.groupBy("address").agg(F.array_distinct(F.flatten(F.collect_list("up"))).alias("parents")).join(made.select("address"), "address", "left_anti")
+        known = kin.select("address").distinct().join(made.select("address"), "address", "left_anti").withColumn("parents", alone)
         kept = known.join(live.select("address", "lane", "input_hash", "identity", "content_type"), "address").withColumns(
-            {"status": F.lit("reused"), "output": null, "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(0), "children": F.expr("CAST(NULL AS array<string>)"), "fresh": F.lit(False)}
+            {"status": F.lit("reused"), "output": null, "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(0), "fresh": F.lit(False)}
         )
-        children = minted.groupBy(F.col("anchor").alias("address")).agg(F.collect_set("address").alias("children"))
         failed = F.col("error").isNotNull()
-        anchors = called.join(children, "address", "left").withColumns(
+        anchors = called.withColumns(
             {"status": F.when(failed, "failed").otherwise("created"), "output": F.when(~failed, F.lit("[]")), "content_type": F.lit("anchor"), "identity": F.when(~failed, F.col("address")), "filtered": F.lit(False),
-             "reason": null, "children": F.coalesce("children", F.expr("CAST(array() AS array<string>)")), "fresh": ~failed, "lane": F.lit("@anchor")}
+             "reason": null, "fresh": ~failed, "lane": F.lit("@anchor")}
         )
         idle = self._settled(decided).where("action <> 'reuse'").withColumn("lane", F.lit("@anchor"))
         return reduce(lambda a, b: a.unionByName(b), [x.select(*self._CELL) for x in (made, kept, anchors, idle)])

@@ -37,7 +37,7 @@ class Selection:
             raise ValueError("live is true or false")
         return out
 
-    def apply(self, cells: DataFrame) -> DataFrame:
+    def apply(self, cells: DataFrame, home: Home) -> DataFrame:
         """Cells (with output and live) that match.
 
         Versions are compared on the driver over the distinct ones, which are
@@ -52,7 +52,9 @@ class Selection:
             short = F.col("lane").startswith(lane) if lane.startswith("row-") else F.col("lane") == lane
             cells = cells.where(scalars.glob(F.col("lane"), lane) if scalars.is_glob(lane) else short)
         if "source" in t:
-            cells = cells.where(F.array_contains("parents", t["source"]) | (F.col("lane") == t["source"]))
+            linked = home.links("edge").where(F.col("parent") == t["source"]).select(F.col("child").alias("address")).distinct().withColumn("_linked", F.lit(True))
+            of_source = F.array_contains("parents", t["source"]) | (F.col("lane") == t["source"]) | F.coalesce("_linked", F.lit(False))
+            cells = cells.join(linked, "address", "left").where(of_source).drop("_linked")
         if "address" in t:
             cells = cells.where(F.col("address").startswith(t["address"]))
         if "live" in t:
@@ -101,12 +103,12 @@ def select(home: Home, selection: str | Selection, run_id: str | None = None) ->
         cells = home.outputs().where("lane <> '@anchor'")
     else:
         cells = current(home)
-    return wanted.apply(cells)
+    return wanted.apply(cells, home)
 
 
 def history(home: Home, selection: str | Selection) -> DataFrame:
     """Every stored output that ever matched."""
-    return parsed(selection).apply(home.outputs().where("lane <> '@anchor'"))
+    return parsed(selection).apply(home.outputs().where("lane <> '@anchor'"), home)
 
 
 def failures(home: Home, run_id: str) -> DataFrame:
@@ -137,7 +139,11 @@ def search(home: Home, run_id: str, text: str) -> DataFrame:
     cells = with_outputs(home, home.cells(run_id=run_id).where("lane <> '@anchor'"))
     needle = F.lower(F.lit(text))
     hit = cells.where(F.contains(F.lower("lane"), needle) | F.contains(F.lower(F.coalesce("output", F.lit(""))), needle))
-    down = cells.select(F.explode("parents").alias("a"), F.col("address").alias("b"))
+    here = cells.select("address").distinct()
+    down = home.edges().select(F.col("parent").alias("a"), F.col("child").alias("b"))
+    for end in ("a", "b"):
+        down = down.join(here.withColumnRenamed("address", end), end, "left_semi")
+    down = home.cut(down.select("a", "b"))
     both = down.union(down.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = closure(both, hit.select(F.col("address").alias("node")), home.cut)
     return cells.join(found.withColumnRenamed("node", "address"), "address")
