@@ -181,37 +181,46 @@ class LineField:
             self._fit(x, there, y)
             labels = self.viterbi(features, doc) | good
 
-    def _fit(self, x: np.ndarray, there: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> None:
+    @staticmethod
+    def slope(theta: np.ndarray, x: np.ndarray, there: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+        """The log-likelihood of labels y and its gradient, by forward and backward sums.
+
+        theta: weights, then moves; x: features of each slot of each sequence;
+        there: which slots are filled, the first ones of each.
+        """
         n, length, width = x.shape
-        flat, total = x.reshape(-1, width), max(1, int(there.sum()))
-        pair = there[:, 1:]
+        flat, pair = x.reshape(-1, width), there[:, 1:]
+        moves = theta[width:].reshape(2, 2)
+        emit = np.zeros((n, length, 2))
+        emit[:, :, 1] = (flat @ theta[:width].astype(x.dtype)).reshape(n, length)
+        alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
+        alpha[:, 0] = emit[:, 0]
+        for t in range(1, length):
+            ahead = np.logaddexp(alpha[:, t - 1, :1] + moves[0], alpha[:, t - 1, 1:] + moves[1]) + emit[:, t]
+            alpha[:, t] = np.where(there[:, t, None], ahead, alpha[:, t - 1])
+        for t in range(length - 2, -1, -1):
+            after = emit[:, t + 1] + beta[:, t + 1]
+            behind = np.logaddexp(after[:, :1] + moves[:, 0], after[:, 1:] + moves[:, 1])
+            beta[:, t] = np.where(there[:, t + 1, None], behind, 0)
+        log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
+        share = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - log_z, 0)) * there
+        grad_w = (flat * (there & (y == 1)).reshape(-1, 1)).sum(0) - share.reshape(-1) @ flat
         seen = np.zeros((2, 2))
         np.add.at(seen, (y[:, :-1][pair], y[:, 1:][pair]), 1)
-        target = (flat * (there & (y == 1)).reshape(-1, 1)).sum(0)
+        grad_m = seen.copy()
+        for i in range(2):
+            for j in range(2):
+                both = alpha[:, :-1, i] + moves[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - log_z
+                grad_m[i, j] -= (np.exp(np.minimum(both, 0)) * pair).sum()
+        likelihood = emit[:, :, 1][there & (y == 1)].sum() + (seen * moves).sum() - log_z.sum()
+        return float(likelihood), np.concatenate([grad_w, grad_m.ravel()])
+
+    def _fit(self, x: np.ndarray, there: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.1, ridge: float = 1e-3) -> None:
+        width, total = x.shape[2], max(1, int(there.sum()))
         theta = np.concatenate([self.weights, self.moves.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, steps + 1):
-            w, moves = theta[:width], theta[width:].reshape(2, 2)
-            emit = np.zeros((n, length, 2))
-            emit[:, :, 1] = (flat @ w.astype(np.float32)).reshape(n, length)
-            alpha, beta = np.zeros((n, length, 2)), np.zeros((n, length, 2))
-            alpha[:, 0] = emit[:, 0]
-            for t in range(1, length):
-                ahead = np.logaddexp(alpha[:, t - 1, :1] + moves[0], alpha[:, t - 1, 1:] + moves[1]) + emit[:, t]
-                alpha[:, t] = np.where(there[:, t, None], ahead, alpha[:, t - 1])
-            for t in range(length - 2, -1, -1):
-                after = emit[:, t + 1] + beta[:, t + 1]
-                behind = np.logaddexp(after[:, :1] + moves[:, 0], after[:, 1:] + moves[:, 1])
-                beta[:, t] = np.where(there[:, t + 1, None], behind, 0)
-            log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])[:, None]
-            share = np.exp(np.minimum(alpha[:, :, 1] + beta[:, :, 1] - log_z, 0)) * there
-            grad_w = target - share.reshape(-1) @ flat
-            grad_m = seen.copy()
-            for i in range(2):
-                for j in range(2):
-                    both = alpha[:, :-1, i] + moves[i, j] + emit[:, 1:, j] + beta[:, 1:, j] - log_z
-                    grad_m[i, j] -= (np.exp(np.minimum(both, 0)) * pair).sum()
-            grad = np.concatenate([grad_w, grad_m.ravel()]) / total - ridge * theta
+            grad = self.slope(theta, x, there, y)[1] / total - ridge * theta
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta = theta + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         self.weights, self.moves = theta[:width], theta[width:].reshape(2, 2)
