@@ -3,8 +3,9 @@ r"""Personal data by weak supervision, in DataFrame functions alone.
 Base spans come from fixed patterns: email, ip, card (Luhn) and phone.  Beyond
 them, looser patterns propose candidates (credentials, phone numbers without a
 country code, spelled-out emails, names after a form of address).  Labelers of
-three sorts vote on each candidate: regex (a strict shape), gazetteer (cue and
-title words nearby) and context (assignment, quotes, neighbours).  Counts of
+three sorts vote on each candidate: regex (a strict shape), gazetteer (a table
+of known words of each kind, looked up for the candidate's words and the two
+before it) and context (assignment, quotes, neighbours).  Counts of
 the vote patterns, a table bounded by the number of patterns, go to the driver,
 where expectation-maximisation estimates each labeler's reliability without
 any labels.  Its posteriors train a logistic span classifier on the candidates'
@@ -47,8 +48,18 @@ LOOSE = {
 KINDS = (*BASE_KINDS, *LOOSE)
 #: A cheap test that any text with a candidate passes.
 HINT = {"secret": r"[A-Za-z0-9_-]{20}", "local_phone": r"[0-9]{3}[-.\x20][0-9]{4}", "spelled_email": r"(?:dot|DOT)", "name": r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame)\.?\x20[A-Z]"}
-#: Cue words of the gazetteer labeler.
-CUES = "token|key|secret|password|passwd|pwd|auth|bearer|credential|phone|tel|call|mobile|fax|contact|mail|email|write|name|dear|sincerely"
+#: The default gazetteer, (kind, entry) with the entries in lower case.
+_CREDENTIALS = "token key secret password passwd pwd auth bearer credential credentials apikey sk pk ghp gho akia xox glpat"
+_CALLS = "phone tel telephone call mobile cell fax contact dial ring whatsapp"
+_MAIL = "mail email write contact gmail yahoo hotmail outlook protonmail com org net edu info"
+_NAMES = (
+    "name dear sincerely regards anna maria mary elena laura sarah emma julia sophie carla john james michael david peter paul thomas robert "
+    "carlos luis jose juan antonio miguel marie pierre jean claude louis camille hans klaus karl otto ingrid heidi smith jones brown garcia "
+    "martinez lopez silva dubois martin bernard müller schmidt weber fischer"
+)
+GAZETTEER = [(kind, word) for kind, words in (("secret", _CREDENTIALS), ("local_phone", _CALLS), ("spelled_email", _MAIL), ("name", _NAMES)) for word in words.split()]
+#: A gazetteer's entries, at most: they are constants of the plan.
+ENTRIES = 20_000
 CONTEXT = 24
 _BLOCK = 64
 
@@ -108,8 +119,25 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def entries(gazetteer: DataFrame | None = None) -> dict[str, list[str]]:
+    """The entries of each kind, in lower case, of a table (kind, entry); of GAZETTEER where none is given.
+
+    Kinds that no pattern has and null entries are left out; more than ENTRIES
+    rows are refused.
+    """
+    if gazetteer is None:
+        rows = GAZETTEER
+    else:
+        table = gazetteer.where("entry IS NOT NULL").where(F.col("kind").isin(*LOOSE)).select("kind", F.lower("entry").alias("entry")).distinct()
+        rows = [(r["kind"], r["entry"]) for r in table.limit(ENTRIES + 1).collect()]
+        if len(rows) > ENTRIES:
+            raise ValueError(f"a gazetteer may have at most {ENTRIES} entries")
+    return {kind: sorted({w for k, w in rows if k == kind}) for kind in LOOSE}
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, list[str]] | None = None) -> DataFrame:
     """(id, base, loose): the base spans and the candidates of each row, located and described."""
+    known = entries() if known is None else known
     frame = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     hints = {
@@ -131,7 +159,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         left = F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
         right = F.substring(text, x["start"] + F.length(value) + 1, F.lit(2))
         bit = lambda cond, i: F.when(cond, 1 << i).otherwise(0)
-        cue = F.lower(left).rlike(rf"(?:{CUES})\W{{0,6}}$") | F.lower(value).rlike(rf"^(?:{CUES})")
+        # the gazetteer is asked for the two words before a candidate and for its own; of a credential for the first of them
+        words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), F.lit(1))
+        own = F.when(kind == "secret", F.slice(words(value), 1, 1)).otherwise(words(value))
+        asked = F.concat(F.slice(F.reverse(words(left)), 1, 2), own)
+        cue = F.lit(False)
+        for k, names in known.items():
+            cue = F.when(kind == k, F.arrays_overlap(asked, F.array(*map(F.lit, names)).cast("array<string>"))).otherwise(cue)
         assigned, quoted = left.rlike(r"[=:]\s*[\"']?$"), left.rlike(r"[\"'(<]$") & right.rlike(r"^[\"')>]")
         digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
         strict = (
@@ -225,10 +259,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, counts of base spans, base_sha256, spans, n_added."""
+def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gazetteer: DataFrame | None = None) -> DataFrame:
+    """One row for each row of docs: id, counts of base spans, base_sha256, spans, n_added.
+
+    gazetteer: a table (kind, entry) of known words, GAZETTEER by default.
+    """
     scratch = Scratch(docs.sparkSession, "pii")
-    found = scratch.cut(find(docs, id_col, text_col))  # ids and spans only: small beside the texts
+    found = scratch.cut(find(docs, id_col, text_col, entries(gazetteer)))  # ids and spans only: small beside the texts
     each = found.select(F.explode("loose").alias("x")).select("x.kind", "x.vote", "x.bits")
     counted = [(r["kind"], r["vote"], r["bits"], r["n"]) for r in each.groupBy("kind", "vote", "bits").agg(F.count("*").alias("n")).orderBy("kind", "vote", "bits").collect()]
     patterns: dict[tuple[str, int], int] = {}
