@@ -138,6 +138,111 @@ def test_viterbi_is_the_best_path():
         assert np.isclose(total(best[doc == d].astype(int).tolist()), max(map(total, paths)))
 
 
+def test_field_slope_by_enumeration_and_differences():
+    """Likelihood against all paths, gradient against finite differences; sequences of 1, 3 and 5 lines."""
+    rng = np.random.default_rng(8)
+    there = np.arange(5) < np.array([1, 3, 5])[:, None]
+    x = rng.normal(size=(3, 5, 4)) * there[:, :, None]
+    y = rng.integers(0, 2, (3, 5)) * there
+    theta = rng.normal(size=8)
+
+    def likelihood(theta):
+        w, moves, total = theta[:4], theta[4:].reshape(2, 2), 0.0
+        for s in range(3):
+            n, score = there[s].sum(), x[s] @ w
+            path = lambda p, n=n, score=score: sum(score[i] * p[i] for i in range(n)) + sum(moves[p[i], p[i + 1]] for i in range(n - 1))
+            total += path(y[s]) - np.logaddexp.reduce([path([k >> i & 1 for i in range(n)]) for k in range(1 << n)])
+        return total
+
+    value, slope = quality.LineField.slope(theta, x, there, y)
+    assert np.isclose(value, likelihood(theta))
+    step = 1e-6 * np.eye(8)
+    assert np.allclose(slope, [(likelihood(theta + d) - likelihood(theta - d)) / 2e-6 for d in step], atol=1e-6)
+
+
+def test_quality_on_held_out_documents(spark):
+    """Trained on one half of the labels, judged on the other."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+    good = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(6, 25))) + "." for _ in range(rng.randint(2, 6)))
+    bad = lambda: "\n".join(" | ".join(rng.choice(words).upper() for _ in range(rng.randint(3, 9))) + " !!! $$$" for _ in range(rng.randint(2, 6)))
+    texts = [(i, bad() if i % 3 == 0 else good()) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts if i % 2], "doc_id long, quality int")
+    judged = got(quality.quality(docs, quality.train(docs, labels)), "kept", "base_failed")
+    held = [i for i, _ in texts if i % 2 == 0 and not judged[i][1]]
+    assert len(held) > 80 and np.mean([judged[i][0] == (i % 3 > 0) for i in held]) >= 0.97
+
+
+def test_reliabilities_find_the_labelers_chances():
+    """Counts of all vote patterns as known chances make them: EM must find the posteriors by Bayes' rule."""
+    true, prior = np.array([[0.1, 0.2, 0.7], [0.2, 0.3, 0.5], [0.05, 0.15, 0.8], [0.2, 0.1, 0.7], [0.15, 0.25, 0.6]]), 0.3
+    false = np.array([[0.7, 0.2, 0.1], [0.5, 0.4, 0.1], [0.75, 0.15, 0.1], [0.8, 0.1, 0.1], [0.6, 0.3, 0.1]])
+    patterns, want = [], {}
+    for v in range(3**pii.VOTERS):
+        votes = [v // 3**i % 3 for i in range(pii.VOTERS)]
+        a = prior * np.prod([true[i, x] for i, x in enumerate(votes)])
+        b = (1 - prior) * np.prod([false[i, x] for i, x in enumerate(votes)])
+        patterns.append(("name", v, round(1e9 * (a + b))))
+        want["name", v] = a / (a + b)
+    found = pii.reliabilities(patterns)
+    assert max(abs(found[k] - want[k]) for k in want) < 0.02
+
+
+def test_span_classifier_follows_the_posteriors():
+    rows = [("name", bits, 0.95 if bits >> 4 & 1 else 0.05, 10 + bits % 7) for bits in range(1 << pii.BITS)]
+    w = pii.train_classifier(rows)["name"]
+    for _, bits, p, _ in rows:
+        score = w[0] + sum(w[i + 1] * (bits >> i & 1) for i in range(pii.BITS))
+        assert (score > 0) == (p > 0.5)
+
+
+def test_pii_spans_of_each_kind(spark):
+    """Planted spans of the method's kinds, and look-alikes that stay out."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(120):
+        key, code = f"{rng.getrandbits(160):040x}", "-".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(5)) + "-v2"
+        person, number = f"Dr. {rng.choice(['Maria', 'Peter', 'Anna'])} {rng.choice(['Garcia', 'Weber'])}", f"({rng.randint(200, 899)}) {rng.randint(200, 899)}-{rng.randint(1000, 9999)}"
+        mail = f"{rng.choice(['ann', 'bob'])}{i} [at] gmail [dot] com"
+        made = [("secret", f'api_key = "', key, '"'), ("local_phone", "call ", number, "."), ("spelled_email", "write ", mail, ".")]
+        kind, before, value, after = made[i % 3]
+        text = f"Some words é 𝔘 come first, {before}{value}{after} The build {code} is plain."
+        rows.append((i, text))
+        want[i] = f"{kind}:{text.index(value)}:{text.index(value) + len(value)}"
+        rows[-1] = (i, text + (f" Seen by {person}." if i % 2 else ""))
+    spans = got(pii.pii(spark.createDataFrame(rows, "doc_id long, text string")), "spans")
+    assert all(want[i] in spans[i][0].split(",") for i in want)
+    assert sum(len(s[0].split(",")) > 2 for s in spans.values()) == 0  # a person besides at most
+    plain = [i for i, s in spans.items() if i % 2 == 0 and s[0] != want[i]]
+    assert not plain
+
+
+def test_gazetteer_is_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("name", "Zaphod"), ("name", None), (None, "x"), ("other", "y"), ("name", "zaphod")], "kind string, entry string")
+    known = pii.entries(table)
+    assert known == {"secret": [], "local_phone": [], "spelled_email": [], "name": ["zaphod"]}
+    docs = spark.createDataFrame([(1, "Mr Zaphod B"), (2, "Mr Other"), (3, "by zaphod: Mr Other")], "doc_id long, text string")
+    cue = {r["id"]: [x["bits"] >> 4 & 1 for x in r["loose"]] for r in pii.find(docs, known=known).collect()}
+    assert cue == {1: [1], 2: [0], 3: [1]}
+    monkeypatch.setattr(pii, "ENTRIES", 0)
+    with pytest.raises(ValueError):
+        pii.entries(table)
+
+
+def test_edge_values(spark, labels):
+    """Nulls, empty, odd and long texts and equal texts, each row with an id of its own, against brute force."""
+    rows = [(i, r[1]) for i, r in enumerate(EDGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "row", "base", "loose", "digests", "cls", "at", "n_words")})
+    plain = [(i, t or "") for i, t in rows]
+    assert got(suffix_dedup.suffix_dedup(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substrings(plain)
+    assert got(shingle_join.shingle_join(docs), "n_links", "component_id", "kept") == brute.near_pairs(plain)
+    assert got(line_dedup.line_dedup(docs), "n_lines", "n_dropped", "kept_sha256") == brute.lines(plain)
+    judged = quality.quality(docs.drop("n_words"), quality.LineField())
+    assert got(judged, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == brute.word_statistics(plain)
+    assert got(pii.pii(docs), "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == brute.personal(plain)
+
+
 def test_pii(docs, rows):
     frame = pii.pii(docs)
     assert got(frame, "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == brute.personal(rows)
