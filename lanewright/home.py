@@ -30,13 +30,17 @@ TABLES = {
     "cells": CELLS,
     # kind edge: child was made from parent; kind child: an anchor (parent) has this child since that run
     "links": "run_id string, pipeline string, step string, kind string, parent string, child string",
-    "commits": "run_id string, pipeline string, step string, seq bigint",
+    # once: the run stored no address of the step twice
+    "commits": "run_id string, pipeline string, step string, seq bigint, once boolean",
     "runs": "run_id string, pipeline string, kind string, status string, params string, selection string, definition string, summary string, error string, ts double, seq bigint",
     "events": "run_id string, pipeline string, step string, lane string, level string, event string, message string, ts double",
-    "liveness": "address string, fulfilled boolean, run_id string, reason string, seq bigint",
+    # a row without pipeline and step counts for all of them
+    "liveness": "address string, fulfilled boolean, run_id string, reason string, seq bigint, pipeline string, step string",
     "reclamations": "address string, identity string, bytes bigint, trigger string, run_id string, ts double",
 }
 PARTITIONS = {"cells": ["pipeline", "step", "run_id"], "links": ["pipeline", "step", "run_id"]}
+#: Hashes in hex are most of what a home holds; Parquet's usual codec leaves them as they are, this one halves them.
+CODEC = "zstd"
 
 
 class Home:
@@ -59,11 +63,16 @@ class Home:
 
     def read(self, name: str) -> DataFrame:
         if not self.exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
+            return self._empty(TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
+    def _empty(self, schema: str) -> DataFrame:
+        """No rows, and the optimizer sees it: a join with them moves nothing."""
+        columns = [c.split() for c in schema.split(", ")]
+        return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(t).alias(n) for n, t in columns])
+
     def append(self, name: str, frame: DataFrame) -> None:
-        writer = frame.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("append")
+        writer = frame.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("append").option("compression", CODEC)
         (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.path}/{name}")
 
     def rows(self, name: str, rows: Sequence[tuple]) -> None:
@@ -74,7 +83,7 @@ class Home:
     def cut(self, frame: DataFrame) -> DataFrame:
         """Writes a frame to a scratch folder of the home and reads it back."""
         path = f"{self.path}/_scratch/{uuid.uuid4().hex}"
-        frame.write.parquet(path)
+        frame.write.option("compression", CODEC).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def sweep(self) -> None:
@@ -112,31 +121,44 @@ class Home:
 
     def cells(self, pipeline: str | None = None, step: str | None = None, run_id: str | None = None) -> DataFrame:
         """Committed cells; the arguments prune partitions."""
-        return self._committed("cells", pipeline, step, run_id)
+        return self._committed("cells", pipeline, step, run_id, self.read("commits"))
 
     def links(self, kind: str, pipeline: str | None = None, step: str | None = None) -> DataFrame:
         """Committed links of one kind; the arguments prune partitions."""
-        return self._committed("links", pipeline, step, None).where(F.col("kind") == kind)
-
-    def _committed(self, table: str, pipeline: str | None, step: str | None, run_id: str | None) -> DataFrame:
-        found = self.read(table)
-        for column, value in (("pipeline", pipeline), ("step", step), ("run_id", run_id)):
-            if value is not None:
-                found = found.where(F.col(column) == value)
-        done = self.read("commits").select("run_id", "pipeline", "step").distinct()
+        return self._committed("links", pipeline, step, None, self.read("commits")).where(F.col("kind") == kind)
+
+    def _committed(self, table: str, pipeline: str | None, step: str | None, run_id: str | None, commits: DataFrame) -> DataFrame:
+        found = _of(self.read(table), pipeline, step)
+        if run_id is not None:
+            found = found.where(F.col("run_id") == run_id)
+        done = commits.select("run_id", "pipeline", "step").distinct()
         return found.join(F.broadcast(done) if run_id else done, ["run_id", "pipeline", "step"], "left_semi")
 
-    def dead(self) -> DataFrame:
-        """Addresses whose last word in the log, against what was stored since, is not live."""
-        log = self.read("liveness").groupBy("address").agg(F.max_by("fulfilled", "seq").alias("f"), F.max("seq").alias("off_seq"))
-        return log.where("NOT f").select("address", "off_seq")
+    def outputs(self, pipeline: str | None = None, step: str | None = None, part: str = "true", packed: bool = False) -> DataFrame:
+        """The newest stored row of each address, with live: whether it may be reused.
 
-    def outputs(self, pipeline: str | None = None, step: str | None = None) -> DataFrame:
-        """The newest stored row of each address, with live: whether it may be reused."""
-        stored = self.cells(pipeline, step).where("fresh")
-        newest = F.row_number().over(Window.partitionBy("address").orderBy(F.desc("seq")))
-        newest_rows = stored.withColumn("_n", newest).where("_n = 1").drop("_n")
-        return newest_rows.join(self.dead(), "address", "left").withColumn("live", F.col("off_seq").isNull() | (F.col("off_seq") < F.col("seq"))).drop("off_seq")
+        part is a condition on lanes.  packed is for joins that decide: addresses
+        are 32 bytes in a column key, and usable says whether a row holds a value
+        or a verdict, so that the value itself needn't move.  Rows are only moved where they must be: no row
+        is older than another while steps ran once, and nothing is dead before
+        the log names one of these steps.
+        """
+        commits = self.read("commits")
+        stored = self._committed("cells", pipeline, step, None, commits).where("fresh").where(part)
+        by = "key" if packed else "address"
+        if packed:
+            stored = stored.withColumns({"key": F.unhex("address"), "usable": F.col("identity").isNotNull() | F.col("filtered")}).drop("address")
+        several = _of(commits, pipeline, step).groupBy("pipeline", "step").agg(F.countDistinct("run_id").alias("n"), F.min(F.coalesce("once", F.lit(False))).alias("once"))
+        if not several.where("n > 1 OR NOT once").limit(1).isEmpty():
+            newest = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq")))
+            stored = stored.withColumn("_n", newest).where("_n = 1").drop("_n")
+        log = _of(self.read("liveness"), pipeline, step, unnamed=True)
+        if log.limit(1).isEmpty():
+            return stored.withColumn("live", F.lit(True))
+        # an address is dead if its last word in the log, against what was stored since, is not live
+        last = log.groupBy((F.unhex("address") if packed else F.col("address")).alias(by)).agg(F.max_by("fulfilled", "seq").alias("f"), F.max("seq").alias("off_seq"))
+        dead = last.where("NOT f").select(by, "off_seq")
+        return stored.join(dead, by, "left").withColumn("live", F.col("off_seq").isNull() | (F.col("off_seq") < F.col("seq"))).drop("off_seq")
 
     def edges(self) -> DataFrame:
         """(parent, child) addresses, once each."""
@@ -153,6 +175,15 @@ class Home:
         return found if run_id is None else found.where(F.col("run_id") == run_id)
 
 
+def _of(frame: DataFrame, pipeline: str | None, step: str | None, unnamed: bool = False) -> DataFrame:
+    """A table's rows of a pipeline and a step; of those without a name too, if asked."""
+    for column, value in (("pipeline", pipeline), ("step", step)):
+        if value is not None:
+            same = F.col(column) == value
+            frame = frame.where(same | F.col(column).isNull() if unnamed else same)
+    return frame
+
+
 class LeaseLost(RuntimeError):
     """Another writer has the pipeline."""
 

@@ -46,14 +46,14 @@ def invalidate(home: Home, selection: str | Selection, reason: str = "", downstr
     """
     run, seq = uuid.uuid4().hex, now_seq()
     wanted = parsed(selection)
-    hit = history(home, wanted).where("live").select(F.col("address").alias("node"))
+    gone = history(home, wanted).where("live").select("address", "pipeline", "step")  # one live row for each address
     if downstream:
         edges = home.edges().select(F.col("parent").alias("a"), F.col("child").alias("b"))
-        hit = closure(home.cut(edges), home.cut(hit), home.cut).select("node")
-    live = home.outputs().where("live").select(F.col("address").alias("node"))
-    gone = home.cut(hit.distinct().join(live, "node", "left_semi"))
-    home.append("liveness", gone.select(F.col("node").alias("address"), F.lit(False).alias("fulfilled"), F.lit(run).alias("run_id"), F.lit(reason).alias("reason"), F.lit(seq).alias("seq")))
-    summary = canonical_text({"invalidated": gone.count(), "reason": reason, "downstream": downstream})
+        hit = closure(home.cut(edges), home.cut(gone.select(F.col("address").alias("node"))), home.cut).select(F.col("node").alias("address"))
+        gone = home.outputs().where("live").select("address", "pipeline", "step").join(hit, "address", "left_semi")
+    home.append("liveness", gone.select("address", F.lit(False).alias("fulfilled"), F.lit(run).alias("run_id"), F.lit(reason).alias("reason"), F.lit(seq).alias("seq"), "pipeline", "step"))
+    n = home.read("liveness").where(F.col("run_id") == run).count()
+    summary = canonical_text({"invalidated": n, "reason": reason, "downstream": downstream})
     text = canonical_text({"terms": wanted.terms, "fields": wanted.fields})
     home.rows("runs", [(run, None, "invalidate", "completed", None, text, None, summary, None, seq / 1e9, seq)])
     return run

@@ -14,7 +14,7 @@ import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -153,6 +153,16 @@ class Run:
         self.tables: dict[str, DataFrame] = {}
         self.schemas = {s.name: s.schema for s in pipeline.steps}
         self.events: list[tuple] = []
+        self.counts: dict[str, dict[str, int]] = {}
+        self.plain: set[str] = set()  # steps whose frame is this run's cells as they were written
+        self.once: set[str] = set()  # steps without an address that this run stored twice
+        self.varied: set[str] = set()  # steps without an identity that two lanes have
+
+    @cached_property
+    def before(self) -> dict[str, int]:
+        """How many runs before this one committed each step; a step that none did has nothing to be joined with."""
+        commits = self.home.read("commits").where((F.col("pipeline") == self.p.name) & (F.col("run_id") != self.run_id))
+        return {r["step"]: r["n"] for r in commits.groupBy("step").agg(F.countDistinct("run_id").alias("n")).collect()}
 
     def note(self, step: str, event: str, message: str, level: str = "warning", lane: str | None = None) -> None:
         self.events.append((self.run_id, self.p.name, step, lane, level, event, message, now_seq() / 1e9))
@@ -170,7 +180,7 @@ class Run:
                     self._fuse(s)
                     continue
                 self._step(s, ordinal)
-                summary.counts[s.name] = self._counts(s)
+                summary.counts[s.name] = self.counts[s.name]
                 if self.scope is not None and s.name == self.scope.step:
                     self._missing(s)
         except Exception as error:
@@ -225,12 +235,15 @@ class Run:
 
     def _decide(self, s: Step, rows: DataFrame) -> DataFrame:
         """rows with action, and what is stored for those that are reused."""
-        names = ["address", "identity", "output", "content_type", "filtered", "reason", "run_id", "code_hash", "ts"]
-        live = self.home.outputs(self.p.name, s.name).where("live").select(*[F.col(n).alias(n if n == "address" else f"was_{n}") for n in names])
-        both = rows.join(live, "address", "left")
-        usable = F.col("was_identity").isNotNull() | F.col("was_filtered")
+        kinds = {"identity": "string", "output": "string", "content_type": "string", "filtered": "boolean", "reason": "string", "run_id": "string", "code_hash": "string", "ts": "double"}
+        if s.name in self.before:
+            kept = self.home.outputs(self.p.name, s.name, "lane = '@anchor'" if s.shape == "expand" else "true", packed=True).where("live")
+            live = kept.select("key", F.col("usable").alias("was_usable"), *[F.col(n).alias(f"was_{n}") for n in kinds])
+            both = rows.withColumn("key", F.unhex("address")).drop("address").join(live, "key", "left").withColumn("address", F.lower(F.hex("key"))).drop("key")
+        else:
+            both = rows.withColumns({"was_usable": F.lit(False)} | {f"was_{n}": F.lit(None).cast(k) for n, k in kinds.items()})
         stale = F.lit(False) if s.stale_after is None else F.col("was_ts") < now_seq() / 1e9 - s.stale_after
-        reuse = usable & F.lit(not s.force) & ~stale
+        reuse = F.col("was_usable") & F.lit(not s.force) & ~stale
         action = F.when(F.col("state") != "ok", F.col("state")).when(F.coalesce(reuse, F.lit(False)), "reuse").otherwise("execute")
         return both.withColumn("action", action)
 
@@ -258,8 +271,12 @@ class Run:
 
     def _planned(self, s: Step, decided: DataFrame) -> DataFrame:
         if s.shape == "expand":
-            known = self._kin(s, decided).select("address").distinct()
-            kids = self.home.outputs(self.p.name, s.name).where("live AND lane <> '@anchor'").join(known, "address", "left_semi").select("lane", "address", "identity", "output", F.lit("ok").alias("state"))
+            kids = self.home.outputs(self.p.name, s.name, "lane <> '@anchor'").where("live")
+            if not s.depends_on and self.before.get(s.name) == 1:  # the one anchor of the one run: all that it stored are its children
+                kids = kids.crossJoin(F.broadcast(decided.where("action = 'reuse'").select(F.lit(1).alias("_")).limit(1)))
+            else:
+                kids = kids.join(self._kin(s, decided).select("address").distinct(), "address", "left_semi")
+            kids = kids.select("lane", "address", "identity", "output", F.lit("ok").alias("state"))
             rest = decided.where("action <> 'reuse'").select("lane", "address", F.expr(_NULL).alias("identity"), F.expr(_NULL).alias("output"), F.lit("pending").alias("state"))
             return kids.union(rest)
         state = F.when(F.col("action") == "reuse", "ok").when(F.col("action") == "filtered", "filtered").otherwise("pending")
@@ -290,14 +307,38 @@ class Run:
         )
         self.home.append("cells", stamped)
         self.lease.renew()
-        self.home.rows("commits", [(self.run_id, self.p.name, s.name, self.seq + ordinal)])
+        self._mark(s)
+        self.home.rows("commits", [(self.run_id, self.p.name, s.name, self.seq + ordinal, s.name in self.once)])
+        self.counts[s.name] = self._counts(s)
         self.frames[s.name] = self._frame(s)
 
+    def _wide(self, s: Step) -> list[str]:
+        """Parents that a map binds by lane."""
+        names = list(dict.fromkeys(s.depends_on.values()))
+        return [n for n in names if n not in self.p.single] or names[:1]
+
+    def _mark(self, s: Step) -> None:
+        """Whether a step's first run can hold an address or an identity twice, by its shape.
+
+        An identity covers the payload, and with it the row key, of an expanded
+        lane; an address covers its only parent's identity, or its group.
+        """
+        if s.name in self.before:
+            return
+        apart = len(self._wide(s)) == 1 and self._wide(s)[0] in self.varied
+        if s.shape == "expand":
+            self.varied.add(s.name)
+        if not s.depends_on or s.shape in ("aggregate", "fold", "join_table") or (s.shape in ("map", "expand") and apart):
+            self.once.add(s.name)
+
     def _frame(self, s: Step) -> DataFrame:
         """What consumers read: this run's cells, with the outputs of reused ones."""
         cells = self.home.cells(self.p.name, s.name, self.run_id).where("lane <> '@anchor'")
         state = F.when(F.col("status").isin("created", "reused"), "ok").otherwise(F.col("status"))
         new = cells.where("fresh OR status NOT IN ('reused')").select("lane", "address", "identity", "output", state.alias("state"))
+        if not self.counts[s.name].get("reused"):
+            self.plain.add(s.name)
+            return new
         old = cells.where("NOT fresh AND status = 'reused'").select("lane", "address", "identity")
         kept = self.home.outputs(self.p.name, s.name).select("address", "output")
         return new.unionByName(old.join(kept, "address", "left").select("lane", "address", "identity", "output", F.lit("ok").alias("state")))
@@ -332,13 +373,19 @@ class Run:
         named = {"run_id": F.lit(self.run_id), "pipeline": F.lit(self.p.name), "step": F.lit(s.name), "kind": F.lit(kind)}
         self.home.append("links", pairs.withColumns(named))
 
-    def _new_edges(self, s: Step, pairs: DataFrame) -> None:
-        """Links those (parent, child) that no earlier run has."""
-        known = self.home.links("edge", self.p.name, s.name).select("parent", "child")
-        self._link(s, "edge", pairs.distinct().join(known, ["parent", "child"], "left_anti"))
+    def _new_edges(self, s: Step, pairs: DataFrame, once: bool = False) -> None:
+        """Links those (parent, child) that no earlier run has; once says that no pair comes twice."""
+        pairs = pairs if once else pairs.distinct()
+        if s.name in self.before:
+            known = self.home.links("edge", self.p.name, s.name).select("parent", "child")
+            pairs = pairs.join(known, ["parent", "child"], "left_anti")
+        self._link(s, "edge", pairs)
 
     def _row_cells(self, s: Step) -> DataFrame:
-        decided = self.home.cut(self._decide(s, self._candidates(s, self.scope is None)))
+        decided = self._decide(s, self._candidates(s, self.scope is None))
+        stored = s.shape == "map" and len(self._wide(s)) == 1 and set(s.depends_on.values()) <= self.plain
+        if s.name in self.before or not stored:  # else it is one pass over written cells, not worth another copy of them
+            decided = self.home.cut(decided)
         self._drift(s, decided)
         if s.shape == "join":
             self._join_notes(s)
@@ -382,14 +429,16 @@ class Run:
                 self.note(s.name, "partial_fan_in", f"{failed} failed lanes of {n} look unmatched")
 
     def _drift(self, s: Step, decided: DataFrame) -> None:
-        if s.code == "warn" and s.source_hash:
+        if s.code == "warn" and s.source_hash and s.name in self.before:
             other = decided.where((F.col("action") == "reuse") & (F.col("was_code_hash") != s.source_hash)).limit(1)
             if not other.isEmpty():
                 self.note(s.name, "code_drift_detected", "reused outputs come from other source code")
 
     def _group_cells(self, s: Step) -> DataFrame:
         bad = reduce(lambda a, b: a + b, [self.frames[p].where("state IN ('failed', 'blocked')").count() for p in s.depends_on.values()])
-        members = self.home.cut(candidates.fan_in(s, self.frames))
+        members = candidates.fan_in(s, self.frames)
+        if not set(s.depends_on.values()) <= self.plain:
+            members = self.home.cut(members)
         rows = candidates.grouped_candidates(s, members, self.spark)
         if bad:
             self.note(s.name, "partial_fan_in", f"{bad} members failed or were blocked")
@@ -398,9 +447,13 @@ class Run:
         rows = rows.withColumn("parents", F.expr("CAST(array() AS array<string>)"))
         decided = self.home.cut(self._decide(s, rows.withColumn("address", self._address(s, F.col("input_hash")))))
         whole = decided.where("action IN ('execute', 'reuse')").select(F.col("lane").alias("group"), F.col("address").alias("child"))
-        self._new_edges(s, members.select("group", F.col("address").alias("parent")).join(whole, "group").select("parent", "child"))
+        self._new_edges(s, members.select("group", F.col("address").alias("parent")).join(whole, "group").select("parent", "child"), set(s.depends_on.values()) <= self.plain & self.once)
         todo = decided.where("action = 'execute'")
-        inside = todo.select(F.col("lane").alias("group")).join(members, "group", "left").withColumn("dep", F.coalesce("dep", F.lit(next(iter(s.depends_on.values())))))
+        ask = todo.select(F.col("lane").alias("group"))
+        # from the members' side, so that few groups are broadcast and no group's members move before they are aggregated
+        inside = members.join(ask, "group", "left_semi")
+        if not s.group_key and members.isEmpty():
+            inside = ask.join(members, "group", "left").withColumn("dep", F.coalesce("dep", F.lit(next(iter(s.depends_on.values())))))
         runs = {"column": bodies.run_column_group, "table": bodies.run_table_group}
         ran = runs[s.body](s, inside, self.schemas, self.params) if s.body in runs else bodies.run_group(s, inside, self.params)
         done = self._finish(todo.join(ran, "lane"), s)
@@ -409,11 +462,13 @@ class Run:
     def _expand_cells(self, s: Step) -> DataFrame:
         """An anchor row for each parent, a cell for each child, and links between them."""
         decided = self._decide(s, self._anchored(s))
-        live = self.home.outputs(self.p.name, s.name).where("live AND lane <> '@anchor'")
-        # an anchor counts only if all of its children are still there
-        kids = self._kin(s, decided).join(live.select("address"), "address", "left_anti")
-        lost = kids.select(F.col("anchor").alias("address")).distinct().withColumn("lost", F.lit(True))
-        decided = decided.join(lost, "address", "left").withColumn("action", F.when(F.col("lost"), "execute").otherwise(F.col("action"))).drop("lost")
+        again = s.name in self.before
+        if again:
+            live = self.home.outputs(self.p.name, s.name, "lane <> '@anchor'").where("live")
+            # an anchor counts only if all of its children are still there
+            kids = self._kin(s, decided).join(live.select("address"), "address", "left_anti")
+            lost = kids.select(F.col("anchor").alias("address")).distinct().withColumn("lost", F.lit(True))
+            decided = decided.join(lost, "address", "left").withColumn("action", F.when(F.col("lost"), "execute").otherwise(F.col("action"))).drop("lost")
         decided = self.home.cut(decided)
         self._drift(s, decided)
         todo = decided.where("action = 'execute'")
@@ -431,38 +486,52 @@ class Run:
         else:
             called = self.home.cut(bodies.run_expand(s, todo, self.params))
             payload = called.where("error IS NULL").select("address", F.explode("payloads").alias("payload"))
+        # payloads move and are cut without their hashes, which are longer than most and are worked out after
+        payload = payload.withColumnRenamed("address", "anchor")
         if s.row_key:
             key = F.coalesce(F.get_json_object("payload", f"$['{s.row_key}']"), F.raise_error(F.lit(f"null row key {s.row_key}")).cast("string"))
-            payload = payload.withColumn("h", sha(key))
-            twice = payload.groupBy("address", "h").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-            if not twice.isEmpty():
+            payload = payload.withColumn("key", key)
+            if not s.depends_on:  # keys of one anchor don't repeat, so there is nothing to combine before the shuffle
+                payload = payload.repartition("key")
+            minted = self.home.cut(payload.groupBy("anchor", "key").agg(F.max("payload").alias("payload"), F.count("*").alias("n")))
+            if not minted.where("n > 1").limit(1).isEmpty():
                 raise ValueError(f"{s.name}: repeated row key {s.row_key}")
         else:
-            payload = payload.withColumn("h", sha(F.col("payload")))
-        minted = self.home.cut(payload.select(F.col("address").alias("anchor"), "payload", "h", self._address(s, F.col("h")).alias("address")).dropDuplicates(["anchor", "address"]))
+            minted = self.home.cut(payload.distinct())
+        minted = minted.withColumn("h", sha(F.col("key" if s.row_key else "payload"))).withColumn("address", self._address(s, F.col("h")))
         owners = decided.select(F.col("address").alias("anchor"), F.col("parents").alias("up"))
         null = F.expr(_NULL)
         alone = F.expr("CAST(array() AS array<string>)")
-        kin = self.home.cut(self._kin(s, decided))
         self._link(s, "child", minted.select(F.col("anchor").alias("parent"), F.col("address").alias("child")))
-        every = minted.join(owners, "anchor").select("up", "address").union(kin.select("up", "address"))
-        self._new_edges(s, every.select(F.explode("up").alias("parent"), F.col("address").alias("child")))
-        once = minted.groupBy("address").agg(F.max("payload").alias("output"), F.first("h").alias("h")).withColumn("parents", alone)
-        made = once.join(live.select("address", F.col("identity").alias("was_identity")), "address", "left").withColumns(
+        every = minted.join(owners, "anchor").select("up", "address")
+        if again:
+            kin = self.home.cut(self._kin(s, decided))
+            every = every.union(kin.select("up", "address"))
+        if s.depends_on:
+            self._new_edges(s, every.select(F.explode("up").alias("parent"), F.col("address").alias("child")))
+            once = minted.groupBy("h").agg(F.max("payload").alias("output")).withColumn("address", self._address(s, F.col("h")))
+        else:
+            once = minted.select("h", F.col("payload").alias("output"), "address")
+        once = once.withColumn("parents", alone)
+        was = once.join(live.select("address", F.col("identity").alias("was_identity")), "address", "left") if again else once.withColumn("was_identity", null)
+        made = was.withColumns(
             {"lane": lane_of(F.col("h")), "input_hash": F.col("h"), "content_type": F.lit("json"), "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(1)}
         )
         made = self._finish(made, s)
-        known = kin.select("address").distinct().join(made.select("address"), "address", "left_anti").withColumn("parents", alone)
-        kept = known.join(live.select("address", "lane", "input_hash", "identity", "content_type"), "address").withColumns(
-            {"status": F.lit("reused"), "output": null, "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(0), "fresh": F.lit(False)}
-        )
         failed = F.col("error").isNotNull()
         anchors = called.withColumns(
             {"status": F.when(failed, "failed").otherwise("created"), "output": F.when(~failed, F.lit("[]")), "content_type": F.lit("anchor"), "identity": F.when(~failed, F.col("address")), "filtered": F.lit(False),
              "reason": null, "fresh": ~failed, "lane": F.lit("@anchor")}
         )
         idle = self._settled(decided).where("action <> 'reuse'").withColumn("lane", F.lit("@anchor"))
-        return reduce(lambda a, b: a.unionByName(b), [x.select(*self._CELL) for x in (made, kept, anchors, idle)])
+        parts = [made, anchors, idle]
+        if again:
+            known = kin.select("address").distinct().join(made.select("address"), "address", "left_anti").withColumn("parents", alone)
+            kept = known.join(live.select("address", "lane", "input_hash", "identity", "content_type"), "address").withColumns(
+                {"status": F.lit("reused"), "output": null, "filtered": F.lit(False), "reason": null, "error": null, "error_type": null, "attempts": F.lit(0), "fresh": F.lit(False)}
+            )
+            parts.append(kept)
+        return reduce(lambda a, b: a.unionByName(b), [x.select(*self._CELL) for x in parts])
 
     # table values
 

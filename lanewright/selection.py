@@ -108,7 +108,9 @@ def select(home: Home, selection: str | Selection, run_id: str | None = None) ->
 
 def history(home: Home, selection: str | Selection) -> DataFrame:
     """Every stored output that ever matched."""
-    return parsed(selection).apply(home.outputs().where("lane <> '@anchor'"), home)
+    wanted = parsed(selection)
+    exact = {k: v for k, v in wanted.terms.items() if k in ("pipeline", "step") and not scalars.is_glob(v)}
+    return wanted.apply(home.outputs(**exact).where("lane <> '@anchor'"), home)
 
 
 def failures(home: Home, run_id: str) -> DataFrame:

@@ -39,10 +39,10 @@ def last_runs(home: Home, pipeline: str, keep: int) -> DataFrame:
 def demote(home: Home, pipeline: str, keep: int, run_id: str | None = None) -> int:
     """Outputs that none of the last runs used are no longer live; anchors stay."""
     used = home.cells(pipeline).join(F.broadcast(last_runs(home, pipeline, keep)), "run_id", "left_semi").select("address").distinct()
-    old = home.cut(home.outputs(pipeline).where("live AND lane <> '@anchor'").join(used, "address", "left_anti").select("address"))
+    old = home.cut(home.outputs(pipeline).where("live AND lane <> '@anchor'").join(used, "address", "left_anti").select("address", "pipeline", "step"))
     found = old.count()
     if found:
-        home.append("liveness", old.select("address", F.lit(False).alias("fulfilled"), F.lit(run_id or "").alias("run_id"), F.lit("retention").alias("reason"), F.lit(now_seq()).alias("seq")))
+        home.append("liveness", old.select("address", F.lit(False).alias("fulfilled"), F.lit(run_id or "").alias("run_id"), F.lit("retention").alias("reason"), F.lit(now_seq()).alias("seq"), "pipeline", "step"))
     return found
 
 
@@ -72,7 +72,7 @@ def gc(home: Home, retention: int | None = None, budget: int | None = None, dry_
             free = live.agg(F.coalesce(F.sum(F.octet_length("output")), F.lit(0))).first()[0]
             old = home.cut(over_budget(live.select("address", F.octet_length("output").cast("long").alias("bytes"), "seq"), max(0, budget - (held - free))))
             demoted += old.count()
-            home.append("liveness", old.select("address", F.lit(False).alias("fulfilled"), F.lit(run).alias("run_id"), F.lit("budget").alias("reason"), F.lit(seq).alias("seq")))
+            home.append("liveness", old.select("address", F.lit(False).alias("fulfilled"), F.lit(run).alias("run_id"), F.lit("budget").alias("reason"), F.lit(seq).alias("seq"), F.lit(None).cast("string").alias("pipeline"), F.lit(None).cast("string").alias("step")))
     done = home.read("reclamations").select("identity").distinct()
     kept = home.outputs().where("live").select("identity").distinct()
     dead = home.outputs().where("NOT live AND lane <> '@anchor'").join(kept, "identity", "left_anti").join(done, "identity", "left_anti")
