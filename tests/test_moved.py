@@ -49,6 +49,12 @@ def test_reuse_plan_moves_little(spark, orders):
     assert {(r["step"], r["action"]): r["n"] for r in rows} == {("orders", "reuse"): 1, ("tier", "execute"): large, ("tier", "reuse"): N - large, ("total", "pending"): 1}
 
 
+def test_map_broadcast_moves_little(spark, orders):
+    rows, prices = check(spark, orders, "map_broadcast")
+    mean = sum(round(p * 100) for p in prices) / N
+    assert len({r["o_orderkey"] for r in rows}) == N and sum(r["above"] for r in rows) == sum(round(p * 100) > mean for p in prices)
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
