@@ -55,6 +55,11 @@ def test_map_broadcast_moves_little(spark, orders):
     assert len({r["o_orderkey"] for r in rows}) == N and sum(r["above"] for r in rows) == sum(round(p * 100) > mean for p in prices)
 
 
+def test_map_classify_rollup_moves_little(spark, orders):
+    rows, prices = check(spark, orders, "map_classify_rollup")
+    assert sum(r["n_orders"] for r in rows) == N and sum(r["cents"] for r in rows) == sum(round(p * 100) for p in prices)
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
