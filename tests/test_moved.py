@@ -60,6 +60,11 @@ def test_map_classify_rollup_moves_little(spark, orders):
     assert sum(r["n_orders"] for r in rows) == N and sum(r["cents"] for r in rows) == sum(round(p * 100) for p in prices)
 
 
+def test_filter_fan_in_moves_little(spark, orders):
+    rows, prices = check(spark, orders, "filter_fan_in")
+    assert len(rows) == 5 and sum(r["n"] for r in rows) == sum(p >= 50_000 for p in prices)
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
