@@ -65,6 +65,11 @@ def test_filter_fan_in_moves_little(spark, orders):
     assert len(rows) == 5 and sum(r["n"] for r in rows) == sum(p >= 50_000 for p in prices)
 
 
+def test_filter_verdict_moves_little(spark, orders):
+    rows, prices = check(spark, orders, "filter_verdict")
+    assert len({r["o_orderkey"] for r in rows}) == N and sum(r["filtered"] for r in rows) == sum(p < 50_000 for p in prices)
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
