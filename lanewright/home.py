@@ -71,9 +71,20 @@ class Home:
         columns = [c.split() for c in schema.split(", ")]
         return self.spark.range(1).where(F.lit(False)).select(*[F.lit(None).cast(t).alias(n) for n, t in columns])
 
-    def append(self, name: str, frame: DataFrame) -> None:
-        writer = frame.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.mode("append").option("compression", CODEC)
-        (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS else writer).parquet(f"{self.path}/{name}")
+    def append(self, name: str, frame: DataFrame, part: dict[str, str] | None = None) -> None:
+        """Appends a frame's rows.
+
+        part holds the partition that all of them belong to, if it is one; they go straight to
+        its folder, as a dynamic write would first sort whole rows by it, and spill.
+        """
+        path = f"{self.path}/{name}"
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        if part:
+            folder = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+            path = "/".join([path, *[folder(c, part[c]) for c in PARTITIONS[name]]])
+            columns = [c for c in columns if c not in part]
+        writer = frame.select(*columns).write.mode("append").option("compression", CODEC)
+        (writer.partitionBy(*PARTITIONS[name]) if name in PARTITIONS and not part else writer).parquet(path)
 
     def rows(self, name: str, rows: Sequence[tuple]) -> None:
         """Appends a few rows that the driver made."""

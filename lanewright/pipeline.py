@@ -301,11 +301,11 @@ class Run:
         else:
             cells = self._row_cells(s)
         stamped = cells.select(
-            F.lit(self.run_id).alias("run_id"), F.lit(self.p.name).alias("pipeline"), F.lit(s.name).alias("step"), "lane", "input_hash", "address", "status", "output", "content_type",
+            "lane", "input_hash", "address", "status", "output", "content_type",
             "identity", "filtered", "reason", "error", "error_type", "attempts", F.lit(s.version).alias("version"), F.lit(s.source_hash).cast("string").alias("code_hash"), "parents", "fresh",
             F.lit(now_seq() / 1e9).alias("ts"), F.lit(self.seq + ordinal).alias("seq"),
         )
-        self.home.append("cells", stamped)
+        self.home.append("cells", stamped, self._part(s))
         self.lease.renew()
         self._mark(s)
         self.home.rows("commits", [(self.run_id, self.p.name, s.name, self.seq + ordinal, s.name in self.once)])
@@ -370,8 +370,11 @@ class Run:
 
     def _link(self, s: Step, kind: str, pairs: DataFrame) -> None:
         """Appends (parent, child); they count once the step is committed."""
-        named = {"run_id": F.lit(self.run_id), "pipeline": F.lit(self.p.name), "step": F.lit(s.name), "kind": F.lit(kind)}
-        self.home.append("links", pairs.withColumns(named))
+        self.home.append("links", pairs.withColumn("kind", F.lit(kind)), self._part(s))
+
+    def _part(self, s: Step) -> dict[str, str]:
+        """The partition of what this run writes for a step."""
+        return {"pipeline": self.p.name, "step": s.name, "run_id": self.run_id}
 
     def _new_edges(self, s: Step, pairs: DataFrame, once: bool = False) -> None:
         """Links those (parent, child) that no earlier run has; once says that no pair comes twice."""

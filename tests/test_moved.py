@@ -70,6 +70,29 @@ def test_filter_verdict_moves_little(spark, orders):
     assert len({r["o_orderkey"] for r in rows}) == N and sum(r["filtered"] for r in rows) == sum(p < 50_000 for p in prices)
 
 
+def test_writes_sort_nothing_by_their_partition(spark, home):
+    """A run's cells and links of a step are one partition: sorting whole rows by it would only spill."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+
+    def rows(spark):
+        return spark.range(4).select("id")
+
+    def twice(rows):
+        return F.struct((rows.id * 2).alias("v"))
+
+    name = "one/part=a b"
+    p = Pipeline(name, [step(rows, shape="expand", body="column", row_key="id", schema="id long"), step(twice, body="column", schema="v long")])
+    p.run(home)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList(int(first), 1000)
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    writes = [text for text in plans if "InsertIntoHadoopFsRelationCommand" in text]
+    assert writes and not [text for text in writes if "[pipeline#" in text and "Sort" in text]
+    assert home.cells(name, "twice").count() == 4 and home.links("child", name, "rows").count() == 4
+    assert p.run(home).reused == 8
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
