@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from functools import cached_property, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright import spec
@@ -135,6 +135,10 @@ class Pipeline:
         return Run(self, home, params, scope, targets).plan()
 
 
+def _repeats(rows: DataFrame, *by: Column | str) -> bool:
+    return not rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").limit(1).isEmpty()
+
+
 class Run:
     """One pass over a pipeline's steps."""
 
@@ -493,12 +497,13 @@ class Run:
         payload = payload.withColumnRenamed("address", "anchor")
         if s.row_key:
             key = F.coalesce(F.get_json_object("payload", f"$['{s.row_key}']"), F.raise_error(F.lit(f"null row key {s.row_key}")).cast("string"))
-            payload = payload.withColumn("key", key)
-            if not s.depends_on:  # keys of one anchor don't repeat, so there is nothing to combine before the shuffle
-                payload = payload.repartition("key")
-            minted = self.home.cut(payload.groupBy("anchor", "key").agg(F.max("payload").alias("payload"), F.count("*").alias("n")))
-            if not minted.where("n > 1").limit(1).isEmpty():
+            by = ["anchor", "key"] if s.depends_on else ["key"]  # a root's one anchor needn't move with each row
+            minted = self.home.cut(payload.withColumn("key", key).select(*by, "payload").repartition(*by))
+            # keys that repeat are an error, so payloads needn't be grouped, which would sort them whole and spill
+            if _repeats(minted, F.xxhash64(*by)) and _repeats(minted, *by):
                 raise ValueError(f"{s.name}: repeated row key {s.row_key}")
+            if not s.depends_on:
+                minted = minted.crossJoin(F.broadcast(decided.select(F.col("address").alias("anchor")).limit(1)))
         else:
             minted = self.home.cut(payload.distinct())
         minted = minted.withColumn("h", sha(F.col("key" if s.row_key else "payload"))).withColumn("address", self._address(s, F.col("h")))

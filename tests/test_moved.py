@@ -93,6 +93,47 @@ def test_writes_sort_nothing_by_their_partition(spark, home):
     assert p.run(home).reused == 8
 
 
+def test_expand_sorts_no_payloads(spark, home):
+    """Keys alone are looked through for repeats: to group whole payloads by them would sort, and spill, what the table holds."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+
+    def rows(spark):
+        return spark.range(4).select("id")
+
+    def kids(rows):
+        return F.array(F.struct((rows.id * 2).alias("k")), F.struct((rows.id * 2 + 1).alias("k")))
+
+    p = Pipeline("sorts", [step(rows, shape="expand", body="column", row_key="id", schema="id long"), step(kids, shape="expand", body="column", row_key="k", schema="k long")])
+    assert p.run(home).created == 4 + 8
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = store.executionsList(int(first), 1000)
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    assert [text for text in plans if "get_json_object(payload" in text]
+    assert not [text for text in plans if "get_json_object(payload" in text and "Sort" in text]
+    held = home.links("child", "sorts")
+    assert held.where("step = 'rows'").select("parent").distinct().count() == 1 and held.where("step = 'kids'").select("parent").distinct().count() == 4
+    assert p.run(home).reused == 4 + 8
+
+
+def test_one_key_of_two_anchors_is_no_repeat(home):
+    def rows(spark):
+        return spark.range(2).select("id")
+
+    def kids(rows):
+        return F.array(F.struct(F.lit(1).alias("k")), F.struct(F.lit(2).alias("k")))
+
+    def twins(rows):
+        return F.array(F.struct(F.lit(1).alias("k")), F.struct(F.lit(1).alias("k")))
+
+    start = step(rows, shape="expand", body="column", row_key="id", schema="id long")
+    p = Pipeline("anchors", [start, step(kids, shape="expand", body="column", row_key="k", schema="k int")])
+    assert p.run(home).counts["kids"] == {"created": 2}
+    assert home.links("child", "anchors", "kids").count() == 4
+    with pytest.raises(ValueError, match="repeated row key"):
+        Pipeline("twins", [start, step(twins, shape="expand", body="column", row_key="k", schema="k int")]).run(home)
+
+
 def test_equal_values_share_an_address(home):
     """A first run may store an address twice, if two lanes have one value; it is still one output, with one edge."""
 
